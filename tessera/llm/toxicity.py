@@ -129,7 +129,8 @@ def label_model(fires: np.ndarray, first: np.ndarray, rounds: int = 25) -> np.nd
     Each voter has an accuracy, the share of toxic rows where it fires; a silent voter
     says nothing, and the rows where all are silent have a rate of their own. `first` starts the posteriors.
     Voters that fire together within a class more than chance has it don't count in
-    full: a voter's evidence is divided by the sum of its residual correlations.
+    full: a voter's evidence in a row is divided by one and its residual correlations with
+    the others that fire there.
     """
     post, some = first.astype(float), fires.any(1)
     for _ in range(rounds):
@@ -141,8 +142,8 @@ def label_model(fires: np.ndarray, first: np.ndarray, rounds: int = 25) -> np.nd
         scale = np.sqrt((left**2).mean(0)) + 1e-6
         together = left.T @ left / len(fires) / np.outer(scale, scale)
         np.fill_diagonal(together, 0)
-        share = 1 / (1 + np.where(together > 0.3, together, 0).sum(1))
-        odds = fires @ (share * np.log(right / (1 - right) * (1 - prior) / prior))
+        share = fires / (1 + fires @ np.where(together > 0.3, together, 0))
+        odds = share @ np.log(right / (1 - right) * (1 - prior) / prior)
         odds += np.log(np.where(some, prior / (1 - prior), silent / (1 - silent)))
         post = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
     return post
