@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, toxicity
+from . import mixing, packing, quality, toxicity
 from .common import table
 from .simhash import simhash_components
 
@@ -13,6 +14,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), k=4, limit=4)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), window=2048).drop("source")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"), share=1.5, cap=2.0, weights=(5, 2, 1))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), cut=0.3)
 
@@ -22,8 +31,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op9_quality": op9_quality, "op10_toxicity": op10_toxicity}
+    return {"op1_simhash": op1_simhash, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op9_quality": op9_quality, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op6_mixing": mixing.ORACLE}
