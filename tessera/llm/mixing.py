@@ -119,7 +119,7 @@ def pieces(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple
     blocks = F.when(F.col("lo") < F.col("hi"), F.expr(f"sequence(lo div {block_words}, (hi - 1) div {block_words})"))
     rounds = rounds.where((F.col("round") == 0) | (F.col("lo") < F.col("hi"))).withColumn("block", F.explode_outer(blocks))
     start, end = F.greatest(F.col("lo"), F.col("block") * block_words), F.least(F.col("hi"), (F.col("block") + 1) * block_words)
-    cut = rounds.withColumn("start", start - F.col("lo")).withColumn("length", F.coalesce(end - start, F.lit(0)))
+    cut = rounds.withColumn("start", start - F.col("lo")).withColumn("length", F.when(F.col("block").isNull(), F.lit(0)).otherwise(end - start))
     return cut.join(slots, ["key", "block"], "left").select(
         "doc_id", "source", F.struct("part", "_row").alias("place"), "size", "source_size", "target", "slot", "start", "length"
     )
