@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, toxicity
+from . import mixing, packing, quality, topk, toxicity
 from .common import table
 from .simhash import simhash_components
 
@@ -14,6 +14,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), k=4, limit=4)
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.topk(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0, k=5, scale=256.0)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), window=2048).drop("source")
 
@@ -31,8 +35,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op9_quality": op9_quality, "op10_toxicity": op10_toxicity}
+    return {"op1_simhash": op1_simhash, "op2_topk": op2_topk, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op9_quality": op9_quality, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict:
-    return {"op6_mixing": mixing.ORACLE}
+    return {"op2_topk": topk.ORACLE, "op6_mixing": mixing.ORACLE}
