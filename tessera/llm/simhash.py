@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -12,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, written
+from .buckets import Forest, pieced, runs_of
+from .common import written
 from .components import connected_components
 
 SEED = 42
@@ -66,29 +68,6 @@ def gray_rank(column):
     return g.bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
 
 
-class Forest:
-    """Labels that join as pairs come in; np.minimum keeps the smallest index of a group."""
-
-    def __init__(self, n: int):
-        self.label = np.arange(n)
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        lab = self.label
-        while True:
-            x, y = lab[a], lab[b]
-            apart = x != y
-            if not apart.any():
-                break
-            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            low, high = np.minimum(x, y), np.maximum(x, y)
-            np.minimum.at(lab, high, low)
-            while True:
-                up = lab[lab]
-                if np.array_equal(up, lab):
-                    break
-                lab[:] = up
-
-
 def tree_pairs(f: np.ndarray, limit: int, leaf: int = 16, fan: int = 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i < j) of Gray-sorted words that differ in at most `limit` bits.
 
@@ -158,23 +137,6 @@ def link_runs(keys: list[np.ndarray], f: np.ndarray, limit: int, short: int = 48
     return forest
 
 
-def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Tables of whole runs of equal keys, out of batches sorted by them."""
-    held: pa.Table | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        last = {k: held[k][held.num_rows - 1].as_py() for k in keys}
-        same = np.logical_and.reduce([held[k].to_numpy() == last[k] for k in keys])
-        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-        if cut:
-            yield held.slice(0, cut)
-            held = held.slice(cut).combine_chunks()
-    if held is not None and held.num_rows:
-        yield held
-
-
 def _linker(limit: int, keys: list[str]):
     def run(batches):
         for t in runs_of(batches, keys):
@@ -205,17 +167,8 @@ def hamming_edges(fps: DataFrame, limit: int = 4, blocks: int = 6, bucket_rows:
             for n, c in enumerate(combinations(range(blocks), blocks - limit))
         ])).alias("k"),
     ).select("fp", "k.combo", "k.bits")
-    large = checkpointed(keyed.groupBy("combo", "bits").count().where(F.col("count") > bucket_rows))
-    some_large = not large.isEmpty()
-    rest = keyed.join(large, ["combo", "bits"], "left_anti") if some_large else keyed
-    edges = _bucket_edges(rest, limit, ["combo", "bits"])
-    if some_large:
-        pieces = F.ceil(F.col("count") / bucket_rows).cast("int")
-        cut = keyed.join(large, ["combo", "bits"]).select("fp", "combo", "bits", pieces.alias("pieces"), F.pmod(F.xxhash64("fp"), pieces).cast("int").alias("own"))
-        met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-        met = met.select("fp", "combo", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        edges = edges.unionByName(_bucket_edges(met, limit, ["combo", "bits", "i", "j"]))
-    return edges.distinct()
+    edges = [_bucket_edges(rows, limit, keys) for rows, keys in pieced(keyed, ["combo", "bits"], "fp", bucket_rows)]
+    return reduce(DataFrame.unionByName, edges).distinct()
 
 
 def _bucket_edges(rows: DataFrame, limit: int, keys: list[str]) -> DataFrame:
