@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, mixing, packing, quality, topk, toxicity
+from . import embed_dedup, licenses, mixing, packing, quality, topk, toxicity
 from .common import table
 from .simhash import simhash_components
 
@@ -18,6 +18,10 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.topk(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0, k=5, scale=256.0)
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
@@ -39,7 +43,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op2_topk": op2_topk, "op4_embed_dedup": op4_embed_dedup, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op9_quality": op9_quality, "op10_toxicity": op10_toxicity}
+    return {"op1_simhash": op1_simhash, "op2_topk": op2_topk, "op3_licenses": op3_licenses, "op4_embed_dedup": op4_embed_dedup, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op9_quality": op9_quality, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict:
