@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import remainder, written
 
 #: Longest context in bytes; contexts and symbols in them rarer than this share of all bytes give way to shorter contexts.
-ORDER, RARE = 5, 2.0**-20
+ORDER, RARE = 5, 2.0**-21
 #: Frequent words that every task holds: a fixed number, so that they may be broadcast.
 FREQUENT = 1 << 16
 #: Symbols that no word holds: what ends a word, and what ends a text.
@@ -227,13 +227,21 @@ def train(words: DataFrame, order: int = ORDER) -> Trie:
     return build(rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), rest["context"].to_numpy(np.int64), rest["n"].to_numpy(np.int64), order)
 
 
+def blend(bytewise: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
+    """log10 of the even mixture of the byte model and the whole word's share of the training tokens."""
+    if not n:
+        return bytewise
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(bytewise * np.log(10), np.log(c / n)) / np.log(10) - np.log10(2)
+
+
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     base_score is the smoothed unigram log10 probability of the tokens (words with A-Z in lower case, then one end).
     score is the log10 probability of the text by prediction by partial matching, with one white space for each
     gap: the code length of each word's bytes and what ends it, in contexts of up to `order` bytes that start with the word, and
-    of the end of the text. Both learn from all training documents. Null texts count as empty: an end alone; repeated rows each get a row; a null doc_id counts as empty
+    of the end of the text, each blended evenly with the whole word's own share, the longest context of all. Both learn from all training documents. Null texts count as empty: an end alone; repeated rows each get a row; a null doc_id counts as empty
     text in the fold. With no training document every count is 0.
 
     Words' counts and code lengths meet the documents' words in a shuffle join; the
@@ -247,8 +255,8 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     log_n = float(np.log10(n + v + 1))
     end_count = next((r["c"] for r in often if r["word"] == ""), 0)
-    end = (1 if end_count else 0, float(np.log10(end_count + 1)) - log_n, float(model.log10([b""])[0]))
-    costs = model.log10(held)
+    end = (1 if end_count else 0, float(np.log10(end_count + 1)) - log_n, float(blend(model.log10([b""]), np.array([float(end_count)]), n)[0]))
+    costs = blend(model.log10(held), np.array([r["c"] for r in often], float), n)
     frequent = sc.broadcast({w: (r["c"] and 1, float(np.log10(r["c"] + 1)) - log_n, float(x)) for w, r, x in zip(held, often, costs)})
     known_model = sc.broadcast(model)
 
@@ -297,7 +305,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         trie = known_model.value
         for b in batches:
             c = b["c"].to_numpy()
-            yield pa.RecordBatch.from_arrays([b["word"], pa.array((c > 0).astype(np.int64)), pa.array(np.log10(c + 1) - log_n), pa.array(trie.log10(b["word"].cast(pa.binary()).to_pylist()))], names=["word", "known", "base_cost", "model_cost"])
+            yield pa.RecordBatch.from_arrays([b["word"], pa.array((c > 0).astype(np.int64)), pa.array(np.log10(c + 1) - log_n), pa.array(blend(trie.log10(b["word"].cast(pa.binary()).to_pylist()), c, n))], names=["word", "known", "base_cost", "model_cost"])
 
     costed = words.where("word <> ''").mapInArrow(cost, "word string, known long, base_cost double, model_cost double")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(parts, "uid long, word string, times long, doc_id long, n_tokens long, n_known long, base double, model double")
