@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, licenses, lm, mixing, packing, quality, topk, toxicity
+from . import embed_dedup, licenses, lm, mixing, packing, quality, topk, toxicity, warc
 from .common import table
 from .simhash import simhash_components
 
@@ -34,6 +34,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"), share=1.5, cap=2.0, weights=(5, 2, 1))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(table(spark, sf_dir, "pages"), smallest=1000))
+
+
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
@@ -47,8 +51,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op2_topk": op2_topk, "op3_licenses": op3_licenses, "op4_embed_dedup": op4_embed_dedup, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op8_lm": op8_lm, "op9_quality": op9_quality, "op10_toxicity": op10_toxicity}
+    return {
+        "op1_simhash": op1_simhash,
+        "op2_topk": op2_topk,
+        "op3_licenses": op3_licenses,
+        "op4_embed_dedup": op4_embed_dedup,
+        "op5_packing": op5_packing,
+        "op6_mixing": op6_mixing,
+        "op7_warc": op7_warc,
+        "op8_lm": op8_lm,
+        "op9_quality": op9_quality,
+        "op10_toxicity": op10_toxicity,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op2_topk": topk.ORACLE, "op6_mixing": mixing.ORACLE}
+    return {"op2_topk": topk.ORACLE, "op6_mixing": mixing.ORACLE, "op7_warc": warc.ORACLE}
