@@ -249,12 +249,11 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """
     words = written(word_counts(docs))
     model = train(words, order)
-    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    often = words.where("c > 0").orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
+    n, v, end_count = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.coalesce(F.max(F.when(F.col("word") == "", F.col("c"))), F.lit(0))).first()
+    often = words.where("c > 0 AND word <> ''").orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
     held = [r["word"].encode() for r in often]
     sc = docs.sparkSession.sparkContext
     log_n = float(np.log10(n + v + 1))
-    end_count = next((r["c"] for r in often if r["word"] == ""), 0)
     end = (1 if end_count else 0, float(np.log10(end_count + 1)) - log_n, float(blend(model.log10([b""]), np.array([float(end_count)]), n)[0]))
     costs = blend(model.log10(held), np.array([r["c"] for r in often], float), n)
     frequent = sc.broadcast({w: (r["c"] and 1, float(np.log10(r["c"] + 1)) - log_n, float(x)) for w, r, x in zip(held, often, costs)})

@@ -137,12 +137,13 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     A document taken more than once has a row for each whole time; the rest of what is taken is a row of
     its first words. n_chars follows the text.
     """
-    dose = taken(docs.select("doc_id", "text", "source"), **options).select(F.col("doc_id").alias("_id"), "size", "taken")
-    both = docs.join(dose, docs.doc_id.eqNullSafe(F.col("_id")))
+    dose = taken(docs.select("doc_id", "text", "source"), **options).where("taken > 0")
     whole, rest = F.expr("taken div size"), F.expr("taken % size")
-    times = both.where("taken > 0").withColumn("_time", F.explode(F.sequence(F.lit(1), whole + F.when(rest > 0, 1).otherwise(0))))
-    text = F.when(F.col("_time") <= whole, F.col("text")).otherwise(_first_words(rest))
-    out = times.withColumn("text", text)
+    dose = dose.select(F.col("doc_id").alias("_mix_id"), whole.alias("_mix_whole"), rest.alias("_mix_rest"))
+    both = docs.join(dose, docs.doc_id.eqNullSafe(F.col("_mix_id")))
+    times = F.sequence(F.lit(1).cast("long"), F.col("_mix_whole") + F.when(F.col("_mix_rest") > 0, 1).otherwise(0))
+    text = F.when(F.col("_mix_time") <= F.col("_mix_whole"), F.col("text")).otherwise(_first_words(F.col("_mix_rest")))
+    out = both.withColumn("_mix_time", F.explode(times)).withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -134,9 +134,9 @@ def label_model(fires: np.ndarray, first: np.ndarray, rounds: int = 25) -> np.nd
     """
     post, some = first.astype(float), fires.any(1)
     for _ in range(rounds):
-        prior = (post.sum() + 1) / (len(post) + 2)
-        silent = (post[~some].sum() + 0.1) / ((~some).sum() + 2)
-        right = np.clip((fires.T @ post + 1.5) / (fires.sum(0) + 2), 1e-3, 1 - 1e-3)
+        prior = np.clip(post.mean(), 1e-3, 1 - 1e-3)
+        silent = np.clip(post[~some].sum() / max(1, (~some).sum()), 1e-3, 1 - 1e-3)
+        right = np.clip(fires.T @ post / np.maximum(fires.sum(0), 1e-9), 1e-3, 1 - 1e-3)
         mean = np.column_stack([fires.T @ (1 - post) / max(1e-9, (1 - post).sum()), fires.T @ post / max(1e-9, post.sum())])
         left = fires - np.column_stack([1 - post, post]) @ mean.T
         scale = np.sqrt((left**2).mean(0)) + 1e-6
@@ -207,10 +207,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     seen = picked.mapInArrow(votes, "fires array<double>, share double, y int").collect()  # at most `sample` rows
     seen.sort(key=lambda r: (r.fires, r.share, r.y))
-    # two made-up rows, where no voter and where each fires, anchor the classifier when the sample is empty
-    fires = np.array([r.fires for r in seen] + [np.zeros(voters.n), np.ones(voters.n)])
-    share = np.array([r.share for r in seen] + [0.0, 0.05])
-    known = np.array([float(r.y > 0) for r in seen] + [0.0, 1.0])
+    # made-up rows anchor the classifier where the sample has no toxic rows: none fires, each fires alone, all fire
+    made = 0 if n_bad else 20
+    fires = np.array([r.fires for r in seen] + [np.zeros(voters.n)] * (1 + made * voters.n) + [np.ones(voters.n)] + list(np.eye(voters.n)) * made)
+    share = np.array([r.share for r in seen] + [0.0] * (1 + made * voters.n) + [0.05] * (1 + made * voters.n))
+    known = np.array([float(r.y > 0) for r in seen] + [0.0] * (1 + made * voters.n) + [1.0] * (1 + made * voters.n))
     first = np.clip(known, 0.02, 0.98) if n_bad else np.where(fires.any(1), 0.9, 0.02)
     post = label_model(fires, first)
     return Model(stems, logistic(features(fires, share), post))
