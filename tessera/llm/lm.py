@@ -227,6 +227,22 @@ def train(words: DataFrame, order: int = ORDER) -> Trie:
     return build(rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), rest["context"].to_numpy(np.int64), rest["n"].to_numpy(np.int64), order)
 
 
+def frequent_words(words: DataFrame) -> DataFrame:
+    """The words of the highest counts, FREQUENT at most.
+
+    A histogram of the counts' logarithms tells from which count on the words are few enough, so that no task has to send
+    its own first FREQUENT words.
+    """
+    own = words.where("c > 0 AND word <> ''").withColumn("level", F.floor(8 * F.log2("c")).cast("int"))
+    room, least = FREQUENT, None
+    for r in sorted(own.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["level"]
+    return own.where(F.col("level") >= least if least is not None else F.lit(False)).select("word", "c")
+
+
 def blend(bytewise: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
     """log10 of the even mixture of the byte model and the whole word's share of the training tokens."""
     if not n:
@@ -250,7 +266,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     words = written(word_counts(docs))
     model = train(words, order)
     n, v, end_count = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.coalesce(F.max(F.when(F.col("word") == "", F.col("c"))), F.lit(0))).first()
-    often = words.where("c > 0 AND word <> ''").orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
+    often = frequent_words(words).collect()
     held = [r["word"].encode() for r in often]
     sc = docs.sparkSession.sparkContext
     log_n = float(np.log10(n + v + 1))
