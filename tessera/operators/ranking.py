@@ -8,24 +8,32 @@ from pyspark.sql import functions as F
 from tessera.functions import fixed
 
 
-def per_query(ranked: DataFrame, relevant: DataFrame, queries: DataFrame, k: int = fixed.EVAL_K) -> DataFrame:
+def marked(ranked: DataFrame, relevant: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ranked with hit, queries with n_relevant) from pairs of query_id and chunk_id that are relevant."""
+    pairs = relevant.select("query_id", "chunk_id").distinct()
+    sizes = pairs.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
+    hits = ranked.join(pairs.withColumn("hit", F.lit(True)), ["query_id", "chunk_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    return hits, queries.join(sizes, "query_id", "left")
+
+
+def per_query(ranked: DataFrame, queries: DataFrame, k: int = fixed.EVAL_K) -> DataFrame:
     """query_id, precision, recall, mrr, ndcg and hit_rank (0 without a hit) of every query.
 
-    ranked: query_id, chunk_id, rank; relevant: distinct query_id, chunk_id. Precision divides by k even where fewer
+    ranked: query_id, rank, hit; queries: query_id, n_relevant. Precision divides by k even where fewer
     rows came back; the reciprocal rank looks at all rows that came back.
     """
-    hits = ranked.join(relevant, ["query_id", "chunk_id"], "left_semi")
-    near = F.col("rank") <= k
-    found = hits.groupBy("query_id").agg(
-        F.count(F.when(near, 1)).alias("hits"), F.min("rank").alias("first"), F.sum(F.when(near, 1 / F.log2(F.col("rank") + 1))).alias("dcg")
+    near = F.col("hit") & (F.col("rank") <= k)
+    found = ranked.groupBy("query_id").agg(
+        F.count(F.when(near, 1)).alias("hits"), F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"), F.sum(F.when(near, 1 / F.log2(F.col("rank") + 1))).alias("dcg")
     )
-    sizes = relevant.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
-    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n_relevant"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
-    rows = queries.select("query_id").join(sizes, "query_id", "left").join(found, "query_id", "left")
+    least = F.least(F.col("n_relevant"), F.lit(k)).cast("int")
+    ideal = F.aggregate(F.sequence(F.lit(1), least), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
+    some = F.col("n_relevant") > 0
+    rows = queries.select("query_id", "n_relevant").join(found, "query_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return rows.select(
-        "query_id", zero(F.col("hits") / k).alias("precision"), zero(F.col("hits") / F.col("n_relevant")).alias("recall"),
-        zero(1 / F.col("first")).alias("mrr"), zero(F.col("dcg") / ideal).alias("ndcg"), F.coalesce("first", F.lit(0)).alias("hit_rank"),
+        "query_id", zero(F.col("hits") / k).alias("precision"), zero(F.when(some, F.col("hits") / F.col("n_relevant"))).alias("recall"),
+        zero(1 / F.col("first")).alias("mrr"), zero(F.when(some, F.col("dcg") / ideal)).alias("ndcg"), F.coalesce("first", F.lit(0)).alias("hit_rank"),
     )
 
 
