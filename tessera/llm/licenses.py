@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Phrases that are counted wherever their words stand consecutively, with their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Notices whose spans may differ a little, with labels of their own.
@@ -64,7 +66,7 @@ def spans(docs: DataFrame, base: dict = BASE, notices: dict = NOTICES) -> tuple[
     hits = grams.join(F.broadcast(tpl), same, "left").where("place = 0 OR tpl IS NOT NULL")
     n = F.when(F.col("place") == 0, F.size("w").cast("long"))
     hits = hits.select("doc_id", "digest", n.alias("n_words"), "tpl", "is_base", "label", "grams", "tpl_pos", (F.col("place") - 1).alias("pos"))
-    hits = hits.repartition("doc_id", "digest")
+    hits = written(hits)  # texts are read once, for what three aggregates read
     key = ["doc_id", "digest"]
     texts = hits.where("n_words IS NOT NULL").groupBy(*key).agg(F.max("n_words").alias("n_words"), F.count("*").alias("rows"))
     votes = hits.where("tpl IS NOT NULL").groupBy(*key, "tpl", "is_base", "label", "grams", (F.col("pos") - F.col("tpl_pos")).alias("diagonal"))
