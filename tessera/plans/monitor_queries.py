@@ -9,7 +9,9 @@ from tessera.operators import monitoring
 
 from .registry import query, table
 
-NEWEST = [F.desc("ts"), F.desc("event_id")]
+def newest_first() -> list:
+    return [F.desc("ts"), F.desc("event_id")]
+
 
 TRACES_SQL = """traces AS (SELECT event_id, ts, CASE WHEN event_id % 11 = 0 THEN NULL ELSE (event_id * 37 % 100) / 100.0::DOUBLE END AS groundedness, value AS top_score FROM events),
   placed AS (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS place FROM traces),
@@ -35,19 +37,19 @@ def traces(spark, sf_dir):
     UNION ALL SELECT 'retrieval_score_psi', 0.0::DOUBLE, round(psi, 6), round(psi, 6), psi > 0.2 FROM p""",
 )
 def drift_report(spark, sf_dir):
-    d = monitoring.drift(traces(spark, sf_dir), fixed.DRIFT_WINDOW, *NEWEST)
+    d = monitoring.drift(traces(spark, sf_dir), fixed.DRIFT_WINDOW, *newest_first())
     return d.select("metric", *[F.round(c, 6).alias(c) for c in ("reference", "recent", "delta")], "drift")
 
 
 @query("drift_windows", f"WITH {TRACES_SQL} SELECT event_id, place::INT AS place, part FROM two")
 def drift_windows(spark, sf_dir):
-    return monitoring.two_windows(traces(spark, sf_dir), fixed.DRIFT_WINDOW, *NEWEST).select("event_id", "place", "part")
+    return monitoring.two_windows(traces(spark, sf_dir), fixed.DRIFT_WINDOW, *newest_first()).select("event_id", "place", "part")
 
 
 @query("drift_too_few_rows", "SELECT event_id, 0::INT AS place, '' AS part FROM events WHERE false")
 def drift_too_few_rows(spark, sf_dir):
     """A window so long that there is nothing to compare: no rows."""
-    return monitoring.two_windows(traces(spark, sf_dir), 60_000_000, *NEWEST).select("event_id", "place", "part")
+    return monitoring.two_windows(traces(spark, sf_dir), 60_000_000, *newest_first()).select("event_id", "place", "part")
 
 
 @query(
@@ -71,7 +73,7 @@ def psi_by_type(spark, sf_dir):
 )
 def bounded_history(spark, sf_dir):
     """The newest events that a hub keeps, and those that a late client is sent."""
-    rows = monitoring.newest(table(spark, sf_dir, "events").select("event_id", "ts"), fixed.HISTORY, *NEWEST)
+    rows = monitoring.newest(table(spark, sf_dir, "events").select("event_id", "ts"), fixed.HISTORY, *newest_first())
     return rows.select("event_id", "place", (F.col("place") <= fixed.REPLAY).alias("replayed"))
 
 

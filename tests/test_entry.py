@@ -47,3 +47,10 @@ def test_entry_and_names(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(catalog.queries()) <= set(entry.queries())
+
+
+def test_import_needs_no_session():
+    import subprocess
+    import sys
+
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], check=True, cwd=entry.__file__.rpartition("/")[0])
