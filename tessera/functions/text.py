@@ -15,7 +15,7 @@ def stem(token: Column) -> Column:
 
     A lazy head makes the longest suffix win, which for this list is the first that fits.
     """
-    folded = F.replace(F.translate(token, "äöü", "aou"), F.lit("ß"), F.lit("ss"))
+    folded = F.when(F.rlike(token, F.lit("[äöüß]")), F.replace(F.translate(token, "äöü", "aou"), F.lit("ß"), F.lit("ss"))).otherwise(token)
     return F.regexp_replace(folded, f"^(.{{{fixed.LEAST_STEM},}}?)({'|'.join(fixed.SUFFIXES)})$", "$1")
 
 
@@ -29,10 +29,14 @@ def estimate_tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(text) / fixed.CHARS_A_TOKEN).cast("int"))
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """White-space separated words; an empty array for blank text."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"(?U)\s+"))
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda w: w != "")
 
 
 def windows(text: Column, most: int = fixed.CHUNK_TOKENS, overlap: int = fixed.CHUNK_OVERLAP) -> Column:
@@ -41,14 +45,17 @@ def windows(text: Column, most: int = fixed.CHUNK_TOKENS, overlap: int = fixed.C
     Words a window follow from the text's own tokens a word; the last window is the first to
     reach the end.
     """
-    w = words(text)
-    n, per_word = F.size(w), F.greatest(F.lit(1.0), estimate_tokens(text) / F.size(w))
-    wide = F.greatest(F.lit(1), F.floor(F.lit(most) / per_word).cast("int"))
-    again = F.least(wide - 1, F.greatest(F.lit(0), F.floor(F.lit(overlap) / per_word).cast("int")))
-    step = F.greatest(F.lit(1), wide - again)
-    last = F.greatest(F.lit(0), F.ceil((n - wide) / step).cast("int"))
-    cut = F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice(w, k * step + 1, wide), " "))
-    return F.when((estimate_tokens(text) <= most) | (n == 0), F.array(text)).otherwise(cut)
+
+    def cut(w: Column) -> Column:
+        n, per_word = F.size(w), F.greatest(F.lit(1.0), estimate_tokens(text) / F.size(w))
+        wide = F.greatest(F.lit(1), F.floor(F.lit(most) / per_word).cast("int"))
+        again = F.least(wide - 1, F.greatest(F.lit(0), F.floor(F.lit(overlap) / per_word).cast("int")))
+        step = F.greatest(F.lit(1), wide - again)
+        last = F.greatest(F.lit(0), F.ceil((n - wide) / step).cast("int"))
+        pieces = F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice(w, k * step + 1, wide), " "))
+        return F.when(n == 0, F.array(text)).otherwise(pieces)
+
+    return F.when(estimate_tokens(text) <= most, F.array(text)).otherwise(let(words(text), cut))
 
 
 def content_hash(model: Column, text: Column) -> Column:

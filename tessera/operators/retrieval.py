@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,12 +27,15 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = fixed.TOP_RECALL, same:
     any shuffle, so that what is shuffled grows with the matches.
     """
     same = same or []
-    stats = chunks.select(F.size("tokens").cast("double").alias("dl")).agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
     asked = queries.select("query_id", *[F.col(c).alias(f"_q_{c}") for c in same], F.explode(text.tokens(F.col(query_text))).alias("term"))
     asked = asked.groupBy("query_id", "term", *[f"_q_{c}" for c in same]).agg(F.count("*").alias("times"))
     terms = asked.select("term").distinct()
-    postings = chunks.select("chunk_id", *same, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(terms, "term", "left_semi")
-    postings = postings.groupBy("chunk_id", "dl", "term", *same).agg(F.count("*").cast("double").alias("tf"))
+    # the texts are tokenised once: an empty term stands for each chunk as such, the query's terms for its postings
+    every = chunks.select("chunk_id", *same, F.size("tokens").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("term"))
+    kept_terms = terms.unionByName(terms.sparkSession.createDataFrame([("",)], "term string"))
+    found = every.join(kept_terms, "term", "left_semi").groupBy("chunk_id", "dl", "term", *same).agg(F.count("*").cast("double").alias("tf")).persist(StorageLevel.DISK_ONLY)
+    stats = found.where("term = ''").agg(F.count("*").alias("n"), F.coalesce(F.avg(F.col("dl").cast("double")), F.lit(0.0)).alias("avgdl"))
+    postings = found.where("term <> ''")
     df = postings.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     idf = df.crossJoin(F.broadcast(stats)).select("term", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), F.expr("if(avgdl = 0, 1, avgdl)").alias("avgdl"))
     part = F.col("tf") + fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * F.col("dl") / F.col("avgdl"))
