@@ -113,13 +113,9 @@ def tree_pairs(f: np.ndarray, limit: int, leaf: int = 16, fan: int = 16) -> Iter
                     yield i[hit], j[hit]
 
 
-def link_runs(keys: list[np.ndarray], f: np.ndarray, limit: int, also=None, short: int = 48) -> Forest:
-    """Joins words of equal keys (rows sorted by key, then Gray rank) within `limit` bits.
-
-    also: a further test of index arrays i and j, as a mask.
-    """
+def run_pairs(keys: list[np.ndarray], f: np.ndarray, limit: int, short: int = 48) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i < j) within `limit` bits, of rows of equal keys (sorted by key, then Gray rank)."""
     n = len(f)
-    forest = Forest(n)
     new = np.ones(n, bool)
     if n > 1:
         new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
@@ -131,29 +127,70 @@ def link_runs(keys: list[np.ndarray], f: np.ndarray, limit: int, also=None, shor
     lag = 1
     while len(rows := rows[rows + lag < end[rows]]):
         hit = rows[np.bitwise_count(f[rows] ^ f[rows + lag]) <= limit]
-        if also:
-            hit = hit[also(hit, hit + lag)]
-        forest.join(hit, hit + lag)
+        yield hit, hit + lag
         lag += 1
     for s, m in zip(start[length > short], length[length > short]):
         for i, j in tree_pairs(f[s : s + m], limit):
-            keep = also(i + s, j + s) if also else slice(None)
-            forest.join((i + s)[keep], (j + s)[keep])
+            yield i + s, j + s
+
+
+def link_runs(keys: list[np.ndarray], f: np.ndarray, limit: int) -> Forest:
+    """The groups that the pairs of `run_pairs` join."""
+    forest = Forest(len(f))
+    for i, j in run_pairs(keys, f, limit):
+        forest.join(i, j)
     return forest
 
 
-def _linker(limit: int, keys: list[str], item: str, sketch_limit: int | None):
+def pick_pairs(keys: list[np.ndarray], f: np.ndarray, limit: int, sketch: np.ndarray, sketch_limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of a bucket two pairs at most: with the nearest sketch, and with the hub.
+
+    The hub is the row, among those within `sketch_limit`, that most rows are clearly near to: the text that the others of
+    a group are copies of. So groups give pairs in proportion to their rows.
+    """
+    n = len(f)
+    clear = sketch_limit - 9
+    degree, nearest, hub = np.zeros(n, np.int64), np.full(n, np.iinfo(np.int64).max), np.full(n, -1, np.int64)
+
+    def near():
+        for i, j in run_pairs(keys, f, limit):
+            d = np.bitwise_count(sketch[:, i] ^ sketch[:, j]).sum(0).astype(np.int64)
+            keep = d <= sketch_limit
+            yield i[keep], j[keep], d[keep]
+
+    for i, j, d in near():
+        at = d <= clear
+        degree += np.bincount(i[at], minlength=n) + np.bincount(j[at], minlength=n)
+        np.minimum.at(nearest, i, (d << 32) | j)
+        np.minimum.at(nearest, j, (d << 32) | i)
+    for i, j, _ in near():
+        np.maximum.at(hub, i, (degree[j] << 32) | (n - 1 - j))
+        np.maximum.at(hub, j, (degree[i] << 32) | (n - 1 - i))
+    rows = np.flatnonzero(hub >= 0)
+    low = np.int64((1 << 32) - 1)
+    return np.concatenate([rows, rows]), np.concatenate([nearest[rows] & low, n - 1 - (hub[rows] & low)])
+
+
+def _linker(limit: int, keys: list[str]):
     def run(batches):
         for t in runs_of(batches, keys):
             t = t.combine_chunks()
-            f, items = t["fp"].to_numpy().view(np.uint64), t[item].to_numpy()
-            also = None
-            if sketch_limit is not None:
-                sketch = np.stack([t[c].to_numpy().view(np.uint64) for c in SKETCH])
-                also = lambda i, j: np.bitwise_count(sketch[:, i] ^ sketch[:, j]).sum(0) <= sketch_limit
-            label = link_runs([t[k].to_numpy() for k in keys], f, limit, also).label
+            f = t["fp"].to_numpy().view(np.uint64)
+            label = link_runs([t[k].to_numpy() for k in keys], f, limit).label
             at = np.flatnonzero(label != np.arange(len(label)))
-            yield pa.RecordBatch.from_arrays([pa.array(items[at]), pa.array(items[label[at]])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(f[at].view(np.int64)), pa.array(f[label[at]].view(np.int64))], names=["a", "b"])
+
+    return run
+
+
+def _picker(limit: int, keys: list[str], sketch_limit: int):
+    def run(batches):
+        for t in runs_of(batches, keys):
+            t = t.combine_chunks()
+            f, cid = t["fp"].to_numpy().view(np.uint64), t["cid"].to_numpy()
+            sketches = np.stack([t[c].to_numpy().view(np.uint64) for c in SKETCH])
+            i, j = pick_pairs([t[k].to_numpy() for k in keys], f, limit, sketches, sketch_limit)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cid[i], cid[j])), pa.array(np.maximum(cid[i], cid[j]))], names=["a", "b"])
 
     return run
 
@@ -176,13 +213,13 @@ def hamming_edges(fps: DataFrame, limit: int = 4, blocks: int = 6, bucket_rows:
             for n, c in enumerate(combinations(range(blocks), blocks - limit))
         ])).alias("k"),
     ).select("fp", "k.combo", "k.bits")
-    edges = [_bucket_edges(rows, limit, keys) for rows, keys in pieced(keyed, ["combo", "bits"], "fp", bucket_rows)]
+    edges = [_by_bucket(rows, keys, _linker(limit, keys)) for rows, keys in pieced(keyed, ["combo", "bits"], "fp", bucket_rows)]
     return reduce(DataFrame.unionByName, edges).distinct()
 
 
-def _bucket_edges(rows: DataFrame, limit: int, keys: list[str], item: str = "fp", sketch_limit: int | None = None) -> DataFrame:
+def _by_bucket(rows: DataFrame, keys: list[str], search) -> DataFrame:
     dealt = rows.repartition(*keys).withColumn("gray", gray_rank(F.col("fp"))).sortWithinPartitions(*keys, "gray").drop("gray")
-    return dealt.mapInArrow(_linker(limit, keys, item, sketch_limit), "a long, b long")
+    return dealt.mapInArrow(search, "a long, b long")
 
 
 def simhash_components(docs: DataFrame, k: int = 4, limit: int = 4) -> DataFrame:
@@ -210,6 +247,8 @@ def component_roots(classes: DataFrame, limit: int) -> DataFrame:
 
 #: Columns of the wide fingerprint of a text's shingles.
 SKETCH = ["s0", "s1", "s2", "s3"]
+#: Bits that the word fingerprints of similar texts rarely exceed in their differences.
+DIFFER = 7
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -248,25 +287,54 @@ def _sketches(k: int):
     return run
 
 
-def similar_components(docs: DataFrame, k: int = 5, sketch_limit: int = 50, limit: int = 16, tables: int = 24, bucket_rows: int = 4096) -> DataFrame:
-    """(doc_id, component_id) of every row, linking texts of similar k-shingles.
+def jaccard_udf(k: int):
+    @F.arrow_udf("double")
+    def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
+        known: dict[str, set] = {}
+
+        def of(text: str) -> set:
+            if text not in known:
+                if len(known) > 200:
+                    known.clear()
+                known[text] = {xxhash.xxh64_intdigest(s, SEED) for s in shingles(text.encode().lower().split(), k)}
+            return known[text]
+
+        out = []
+        for x, y in zip(a.to_pylist(), b.to_pylist()):
+            u, v = of(x or ""), of(y or "")
+            both = len(u & v)
+            out.append(both / (len(u) + len(v) - both) if u or v else 1.0)
+        return pa.array(out, pa.float64())
+
+    return jaccard
+
+
+def similar_components(docs: DataFrame, k: int = 5, least: float = 0.8, sketch_limit: int = 54, limit: int = 16, bucket_rows: int = 4096) -> DataFrame:
+    """(doc_id, component_id) of every row, linking texts whose k-word shingles have a Jaccard similarity of `least` or more.
 
-    A link is a distance of `sketch_limit` of 256 bits or fewer between the SimHashes of all
-    k-word shingles: at a Jaccard similarity of 0.8 the expected distance is 39 and its
-    deviation 6. Such texts share most distinct words, so that few bits of the
-    64-bit SimHash of these differ (5 on average at 0.8): candidates are those that agree in one of `tables` choices of bits (log2
-    of the number of texts, 16 at least), within `limit` bits by the Gray-order tree of their bucket.
+    Candidates come from two SimHashes, of a text's distinct words (64 bits) and of its shingles (256 bits). At a
+    similarity of 0.8 the latter differ in 39 bits on average, with a deviation of 6, and may differ in
+    `sketch_limit`; the former differ in 5 on average. Texts meet where they agree in one of several choices of
+    bits of the former, in a bucket that is searched by the Gray-order tree within `limit` bits. A choice has two bits less than it takes to tell
+    all texts apart, 16 at least, and there are as many choices as leave one in a hundred pairs of DIFFER bits unmet. Of each row and
+    bucket the pairs of `pick_pairs` are verified on the texts. Texts of equal fingerprints are one class.
     """
     prints = written(docs.select("doc_id", "text").mapInArrow(_sketches(k), "doc_id long, fp long, s0 long, s1 long, s2 long, s3 long"))
     classes = written(prints.groupBy("fp", *SKETCH).agg(F.min("doc_id").alias("least")).withColumn("cid", F.monotonically_increasing_id()))
-    width = max(16, int(np.ceil(np.log2(max(2, classes.count())))))
+    width = max(16, int(np.ceil(np.log2(max(2, classes.count())))) - 2)
+    tables = int(np.ceil(np.log(0.01) / np.log(1 - (1 - DIFFER / 64) ** width)))
     rng = np.random.default_rng(SEED)
     masks = [sum(1 << int(b) for b in rng.choice(64, width, replace=False)) for _ in range(tables)]
     keyed = classes.select(
         "cid", "fp", *SKETCH, F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("combo", "bits")
     )
-    edges = [_bucket_edges(rows, limit, keys, "cid", sketch_limit) for rows, keys in pieced(keyed, ["combo", "bits"], "cid", bucket_rows)]
-    roots = connected_components(reduce(DataFrame.unionByName, edges))
+    found = [_by_bucket(rows, keys, _picker(limit, keys, sketch_limit)) for rows, keys in pieced(keyed, ["combo", "bits"], "cid", bucket_rows)]
+    pairs = written(reduce(DataFrame.unionByName, found).distinct())
+    ends = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    texts = docs.select("doc_id", "text").join(classes.join(ends, "cid").select("cid", F.col("least").alias("doc_id")), "doc_id").select("cid", "text")
+    x, y = (texts.select(F.col("cid").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
+    edges = pairs.join(x, "a").join(y, "b").where(jaccard_udf(k)("text_a", "text_b") >= least).select("a", "b")
+    roots = connected_components(edges)
     at = classes.join(roots, classes.cid == roots.node, "left").withColumn("root", F.coalesce("root", "cid"))
     named = at.join(at.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", *SKETCH, "component_id")
     return prints.join(named, ["fp", *SKETCH]).select("doc_id", "component_id")
