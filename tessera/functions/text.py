@@ -34,9 +34,13 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: What is no white space to a Unicode-aware split.
+BLACK = r"([^\s\x1C-\x1F\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+)"
+
+
 def words(text: Column) -> Column:
     """White-space separated words; an empty array for blank text."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda w: w != "")
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(BLACK), F.lit(1))
 
 
 def windows(text: Column, most: int = fixed.CHUNK_TOKENS, overlap: int = fixed.CHUNK_OVERLAP) -> Column:
