@@ -34,8 +34,10 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-#: What is no white space to a Unicode-aware split.
-BLACK = r"([^\s\x1C-\x1F\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+)"
+#: Runs without Unicode white space, as plain ranges: a negated class of all white space is several times as slow.
+BLACK = (
+    r"([\x00-\x08\x0E-\x1B\x21-\x84\x86-\x9F\u00A1-\u167F\u1681-\u1FFF\u200B-\u2027\u202A-\u202E\u2030-\u205E\u2060-\u2FFF\u3001-\x{10FFFF}]+)"
+)
 
 
 def words(text: Column) -> Column:
