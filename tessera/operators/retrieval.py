@@ -47,14 +47,27 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = fixed.TOP_RECALL, same:
     return top(scored.where("score > 0"), "query_id", k, F.desc(F.round("score", 9)), "chunk_id")
 
 
+#: Query vectors that are broadcast at most; beyond it blocks of queries and parts of the vectors meet by an equi-join.
+BROADCAST_QUERIES, BLOCK_QUERIES, PARTS = 20_000, 1_000, 64
+
+
 def dense(vectors: DataFrame, queries: DataFrame, k: int = fixed.TOP_RECALL) -> DataFrame:
     """query_id, chunk_id, score and rank by inner product of unit vectors: exact, over all vectors.
 
-    vectors: chunk_id and vector; queries: query_id and vector. The stated queries are packed in blocks of rows, and
-    each vector meets a block at a time, so that a row travels once for each block.
+    vectors: chunk_id and vector; queries: query_id and vector. Few queries are broadcast, so that the vectors stay where they are. More
+    than BROADCAST_QUERIES are cut into blocks, and the vectors into parts: each part meets each block under
+    a key of its own, so that neither side has to fit in a task.
     """
     asked = queries.select("query_id", F.col("vector").alias("q"))
-    scored = vectors.join(asked, F.lit(True)).where("chunk_id <> query_id").select("query_id", "chunk_id", text.dot(F.col("vector"), F.col("q")).alias("score"))
+    n = asked.count()
+    if n <= BROADCAST_QUERIES:
+        pairs = vectors.join(F.broadcast(asked), F.col("chunk_id") != F.col("query_id"))
+    else:
+        part, block = F.pmod(F.xxhash64("chunk_id"), F.lit(PARTS)), F.pmod(F.xxhash64("query_id"), F.lit(-(-n // BLOCK_QUERIES)))
+        left = vectors.withColumn("_part", part).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(-(-n // BLOCK_QUERIES) - 1).cast("long"))))
+        right = asked.withColumn("_block", block).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+        pairs = left.join(right, ["_part", "_block"]).where("chunk_id <> query_id")
+    scored = pairs.select("query_id", "chunk_id", text.dot(F.col("vector"), F.col("q")).alias("score"))
     return top(scored, "query_id", k, F.desc(F.round("score", 9)), "chunk_id")
 
 

@@ -64,7 +64,10 @@ def test_rerank_and_answers(spark):
     assert a[1].stub and a[1].low_confidence and a[1].citations == []
 
 
-def test_dense_top(spark):
+@pytest.mark.parametrize("most", [20_000, 1])
+def test_dense_top(spark, monkeypatch, most):
+    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", most)
+    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 1)
     v = spark.createDataFrame([(i, [math.cos(i), math.sin(i)]) for i in range(12)], "chunk_id int, vector array<float>")
     q = v.where("chunk_id % 6 = 0").toDF("query_id", "vector")
     got = retrieval.dense(v, q, 3).orderBy("query_id", "rank").collect()
