@@ -273,7 +273,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     end = (1 if end_count else 0, float(np.log10(end_count + 1)) - log_n, float(blend(model.log10([b""]), np.array([float(end_count)]), n)[0]))
     costs = blend(model.log10(held), np.array([r["c"] for r in often], float), n)
     frequent = sc.broadcast({w: (r["c"] and 1, float(np.log10(r["c"] + 1)) - log_n, float(x)) for w, r, x in zip(held, often, costs)})
-    known_model = sc.broadcast(model)
+    known_model = sc.broadcast(vars(model))  # plain arrays, which need no class to be read
 
     def parts(batches):
         """A row for each document, with what its frequent words sum to, and one for each other word of it."""
@@ -317,7 +317,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
             )
 
     def cost(batches):
-        trie = known_model.value
+        trie = Trie(**known_model.value)
         for b in batches:
             c = b["c"].to_numpy()
             yield pa.RecordBatch.from_arrays([b["word"], pa.array((c > 0).astype(np.int64)), pa.array(np.log10(c + 1) - log_n), pa.array(blend(trie.log10(b["word"].cast(pa.binary()).to_pylist()), c, n))], names=["word", "known", "base_cost", "model_cost"])
