@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import fixed, text
 
-# What stands in for a missing name, the default opening, tags and phases' advice keys.
+# What stands in for a missing name, the default opening and tags.
 NOBODY = "there"
-OPENING = "Guten Tag {first_name}, you're through to Jamie at Vorsicht claims — I have your file open. How can I help you today? Is everyone okay?"
+OPENING = "Guten Tag {first_name}, you're through to claims intake — I have your file open. How can I help you today? Is everyone okay?"
 NO_SUMMARY, STUB_TAG = "(no summary)", " [stub — say something general, don't quote]"
 
 
