@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import fixed
+from tessera.functions.text import words as text_words
 
 
 def literal_map(pairs: dict) -> Column:
@@ -30,14 +31,14 @@ def filled(spans: DataFrame, key: str = "call_id") -> DataFrame:
 
     A later value replaces an earlier one only with a strictly higher score, so the highest score's first turn stands.
     """
-    best = W.partitionBy(key, "label").orderBy(F.desc("score"), "turn")
-    return spans.where("kind = 'pillar'").withColumn("_n", F.row_number().over(best)).where("_n = 1").select(key, "label", "value", "score", "turn")
+    first = F.min_by(F.struct("value", "score", "turn"), F.struct(-F.col("score"), F.col("turn")))  # partial sums: a call may have most of all rows
+    return spans.where("kind = 'pillar'").groupBy(key, "label").agg(first.alias("_b")).select(key, "label", "_b.*")
 
 
 def flagged(signals: DataFrame, key: str = "call_id") -> DataFrame:
     """key, signal, evidence, severity and turn: the last flag of each signal."""
-    last = W.partitionBy(key, "signal").orderBy(F.desc("turn"))
-    return signals.withColumn("_n", F.row_number().over(last)).where("_n = 1").select(key, "signal", "evidence", "severity", "turn")
+    last = F.max_by(F.struct("evidence", "severity", "turn"), F.col("turn"))
+    return signals.groupBy(key, "signal").agg(last.alias("_l")).select(key, "signal", "_l.*")
 
 
 def risk(flags: DataFrame, key: str = "call_id") -> DataFrame:
@@ -92,10 +93,14 @@ def targets(calls: DataFrame, pillars: DataFrame, asked: DataFrame, key: str = "
     return rows.select(key, phase(F.col("_filled")).alias("phase"), "open", "parked", text.alias("text"))
 
 
-def asked_so_far(turns: DataFrame, key: str = "call_id") -> DataFrame:
-    """turns (key, turn, asked array) with the sorted set of all that was asked up to each turn."""
+def asked_so_far(turns: DataFrame, key: str = "call_id", labels: list[str] | None = None) -> DataFrame:
+    """turns (key, turn, asked array) with the sorted set of all that was asked up to each turn.
+
+    One running flag a label, so that a long call costs its length and not its square.
+    """
     upto = W.partitionBy(key).orderBy("turn").rowsBetween(W.unboundedPreceding, 0)
-    return turns.withColumn("asked_so_far", F.array_sort(F.array_distinct(F.flatten(F.collect_list("asked").over(upto)))))
+    flags = [F.when(F.max(F.array_contains("asked", x)).over(upto), F.lit(x)) for x in sorted(labels or fixed.INTENTS)]
+    return turns.withColumn("asked_so_far", F.array_compact(F.array(*flags)))
 
 
 def speaker_runs(turns: DataFrame, key: str = "call_id", speaker: str = "role") -> DataFrame:
@@ -117,11 +122,17 @@ def user_turns(turns: DataFrame, key: str = "call_id", speaker: str = "role", us
 
 
 def rolling_chunk(turns: DataFrame, key: str = "call_id", words: int = fixed.CHUNK_WORDS) -> DataFrame:
-    """key and the last 2 * words words of all that was said, in turn order."""
-    said = turns.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("_s"))
-    every = F.filter(F.split(F.array_join(F.transform("_s", lambda x: x["text"]), " "), r"\s+"), lambda w: w != "")
+    """key, the last 2 * words words of all that was said, in turn order, and the number of all words.
+
+    Only the turns that reach into the chunk are brought together.
+    """
+    later = W.partitionBy(key).orderBy(F.desc("turn")).rowsBetween(W.unboundedPreceding, -1)
+    rows = turns.select(key, "turn", text_words(F.col("text")).alias("_w")).withColumn("_later", F.coalesce(F.sum(F.size("_w")).over(later), F.lit(0)))
+    kept = F.when(F.col("_later") < 2 * words, F.struct("turn", "_w"))
+    said = rows.groupBy(key).agg(F.array_sort(F.collect_list(kept)).alias("_s"), F.sum(F.size("_w")).cast("int").alias("n_words"))
+    every = F.flatten(F.transform("_s", lambda x: x["_w"]))
     tail = F.when(F.size(every) > 2 * words, F.slice(every, -2 * words, 2 * words)).otherwise(every)
-    return said.select(key, F.array_join(tail, " ").alias("chunk"), F.size(every).alias("n_words"))
+    return said.select(key, F.array_join(tail, " ").alias("chunk"), "n_words")
 
 
 def reduced(events: DataFrame, key: str = "call_id") -> DataFrame:
