@@ -22,8 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir() or os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
-    if "://" not in base and not base.startswith("file:"):
-        base = f"file://{base}"
+    # a path without a scheme is on the cluster's default file system
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    base = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

@@ -84,6 +84,11 @@ def planned(pages: DataFrame, smallest: int = SMALLEST) -> DataFrame:
     return r.join(v, on, "left").select("r.page_id", "url", "payload", "r.digest", "refers_to")
 
 
+def _uri(folder: str) -> str:
+    """folder as pyarrow wants it: with a scheme, and file: with three slashes."""
+    return re.sub(r"^(?:file:/*)?/(?!/)", "file:///", folder) if folder.startswith(("/", "file:")) else folder
+
+
 def write(pages: DataFrame, folder: str | None = None, smallest: int = SMALLEST, archive: int = ARCHIVE) -> DataFrame:
     """The index of archives written to `folder` (by default a new one in the shared folder).
 
@@ -93,12 +98,10 @@ def write(pages: DataFrame, folder: str | None = None, smallest: int = SMALLEST,
     bytes, the rows with the largest page_id are responses and the others revisit it.
     """
     spark = pages.sparkSession
-    folder = folder or shared_dir(spark)
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = f"file://{folder}"
+    folder = _uri(folder or shared_dir(spark))
 
     def save(batches):
-        disk, path = fs.FileSystem.from_uri(folder.replace("file:///", "file:/").replace("file:/", "file:///"))
+        disk, path = fs.FileSystem.from_uri(folder)
         out, name, at = None, "", 0
         kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("digest", pa.string())])
         try:
@@ -152,7 +155,7 @@ def read(index: DataFrame, with_payload: bool = False) -> DataFrame:
                 file, to = rows[at]["file"], at
                 while to < len(rows) and rows[to]["file"] == file:
                     to += 1
-                disk, path = fs.FileSystem.from_uri(file.replace("file:///", "file:/").replace("file:/", "file:///"))
+                disk, path = fs.FileSystem.from_uri(file)
                 with disk.open_input_file(path) as archive:
                     for first, last, begin, length in ranges([(r["offset"], r["length"]) for r in rows[at:to]]):
                         data = archive.read_at(length, begin)
