@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -22,6 +23,8 @@ PATTERNS = [
     re.compile(r"\b(?:hate|despise) (?:you|them|these people)\b", re.I),
 ]
 SHORTEST, LONGEST = 3, 8
+#: Odd factors of the minimal hashes that tell copies.
+MIXERS = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1)) for i in range(32)]
 #: Labelled rows that may be learnt from at most, stems kept at most, words remembered by a task.
 SAMPLE, STEMS, REMEMBERED = 12_000, 256, 300_000
 
@@ -62,8 +65,8 @@ def _count_stems(batches):
 def choose_stems(rows: list[tuple[str, int, int, int]], n_bad: int, n_good: int) -> list[tuple[str, int]]:
     """(stem, level) whose share of toxic documents can't be chance among so many candidates.
 
-    The test is Chernoff's bound on the tail of a binomial, against the number of
-    candidates. Of stems that contain one another the strongest stays, the longer first.
+    rows: stem, level, and in how many toxic and clean documents it fires, copies counted once. The test is Chernoff's
+    bound on the tail of a binomial, against the number of candidates. Of stems that contain one another the strongest stays, the longer first.
     """
     prior = n_bad / max(1, n_bad + n_good)
     if not 0 < prior < 1:
@@ -87,6 +90,52 @@ def choose_stems(rows: list[tuple[str, int, int, int]], n_bad: int, n_good: int)
     return out
 
 
+def _marks(place: dict[tuple[str, int], int]):
+    """Of each toxic text the candidates that fire, and minimal hashes of its words."""
+
+    def run(batches):
+        kinds = pa.schema([("fired", pa.list_(pa.int32())), ("least", pa.list_(pa.int64()))])
+        for b in batches:
+            fired, least = [], []
+            for text in b["text"].to_pylist():
+                words, hits = words_of(text), Counter()
+                for w, n in Counter(words).items():
+                    for p in prefixes(w):
+                        hits[p] += n
+                fired.append(sorted(place[p, k] for p, n in hits.items() for k in levels(n, len(words)) if (p, k) in place))
+                h = np.array([zlib.crc32(w.encode()) for w in set(words)] or [0], np.uint64)
+                least.append([int(((h * m + m) >> np.uint64(20)).min()) for m in MIXERS])
+            yield pa.RecordBatch.from_pydict({"fired": fired, "least": least}, kinds)
+
+    return run
+
+
+def copies_of(least: np.ndarray, alike: float = 0.5) -> np.ndarray:
+    """A group number for each row: rows whose minimal hashes agree in `alike` of all places are copies."""
+    group = np.arange(len(least))
+    for i in range(len(least)):
+        near = np.flatnonzero((least[i + 1 :] == least[i]).mean(1) >= alike) + i + 1
+        for j in near[group[near] != group[i]]:
+            a, b = sorted((group[i], group[j]))
+            group[group == b] = a
+    return np.unique(group, return_inverse=True)[1]
+
+
+def independent(rows: list, marks: list) -> tuple[list[tuple[str, int, int, int]], int]:
+    """(rows, toxic documents), the toxic documents of each candidate counted by groups of copies.
+
+    One toxic text with many copies would make each of its words look toxic.
+    """
+    if not marks:
+        return [], 0
+    group = copies_of(np.array([m.least for m in marks]))
+    bad: list[set] = [set() for _ in rows]
+    for g, m in zip(group.tolist(), marks):
+        for at in m.fired:
+            bad[at].add(g)
+    return [(r.stem, r.level, len(b), r.good) for r, b in zip(rows, bad) if b], int(group.max()) + 1
+
+
 class Voters:
     """The voters' firings in a text: one for each stem, lexicon word and pattern."""
 
@@ -196,7 +245,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         counted = picked.mapInArrow(_count_stems, "stem string, level int, bad long, good long").groupBy("stem", "level").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
         # the strongest few thousand candidates at most come to the driver
         rows = counted.where("bad >= 3 and bad >= 4 * good").orderBy(F.desc(F.col("bad") - F.col("good")), "stem", "level").limit(5000).collect()
-        stems = choose_stems([tuple(r) for r in rows], n_bad, n_good)
+        place = {(r.stem, r.level): i for i, r in enumerate(rows)}
+        marks = picked.where("y > 0").mapInArrow(_marks(place), "fired array<int>, least array<bigint>").collect()
+        stems = choose_stems(*independent(rows, marks), n_good)
     voters = Voters(stems)
 
     def votes(batches):

@@ -161,3 +161,22 @@ def test_lm_scores_against_brute_force(spark, monkeypatch):
 
 def words_of(text):
     return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+
+
+def test_copies_of_a_toxic_text_teach_no_words(spark):
+    rng = random.Random(8)
+    plain = [a + b for a in ("re", "tion", "sta", "ver", "lo", "mi") for b in ("ka", "den", "ler", "nos", "pi")]
+    docs, labels = [], []
+    for i in range(400):
+        toxic = i % 8 == 0
+        words = [rng.choice(plain) for _ in range(60)] + [f"own{i}x{k}" for k in range(20)]
+        docs.append((i, " ".join(words + ["grobzka"] * 3 * toxic)))
+        labels.append((i, 1, int(toxic), ""))
+    copied = docs[0][1].split() + ["quirrel", "quirrel"]
+    for i in range(400, 440):
+        copied[rng.randrange(50)] = "edit"
+        docs.append((i, " ".join(copied)))
+        labels.append((i, 1, 1, ""))
+    model = toxicity.train(table(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int, text string"))
+    stems = {s.rstrip("$") for s, _ in model.stems}
+    assert any("grobzka".startswith(s) for s in stems) and not any("quirrel".startswith(s) for s in stems)
