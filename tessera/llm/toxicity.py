@@ -91,7 +91,7 @@ def choose_stems(rows: list[tuple[str, int, int, int]], n_bad: int, n_good: int)
 
 
 def _marks(place: dict[tuple[str, int], int]):
-    """Of each toxic text the candidates that fire, and minimal hashes of its words."""
+    """Of each toxic text the candidates that fire, and minimal hashes of its pairs of words."""
 
     def run(batches):
         kinds = pa.schema([("fired", pa.list_(pa.int32())), ("least", pa.list_(pa.int64()))])
@@ -103,7 +103,8 @@ def _marks(place: dict[tuple[str, int], int]):
                     for p in prefixes(w):
                         hits[p] += n
                 fired.append(sorted(place[p, k] for p, n in hits.items() for k in levels(n, len(words)) if (p, k) in place))
-                h = np.array([zlib.crc32(w.encode()) for w in set(words)] or [0], np.uint64)
+                pairs = {f"{a} {b}" for a, b in zip(words, words[1:])} or {text}
+                h = np.array([zlib.crc32(w.encode()) for w in pairs], np.uint64)
                 least.append([int(((h * m + m) >> np.uint64(20)).min()) for m in MIXERS])
             yield pa.RecordBatch.from_pydict({"fired": fired, "least": least}, kinds)
 
