@@ -256,17 +256,23 @@ def _majority(h: np.ndarray, votes: np.ndarray) -> None:
     votes += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(len(h), -1), axis=1).sum(0, dtype=np.int64)
 
 
+def shingle_set(words: list[bytes], k: int) -> np.ndarray:
+    """Sorted hashes of the distinct k-shingles of some words."""
+    parts = [np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(words[at : at + CHUNK + k - 1], k)], np.uint64)) for at in range(0, max(1, len(words) - k + 1), CHUNK)]
+    return np.unique(np.concatenate(parts))
+
+
 def sketch(text: str | None, k: int = 5) -> np.ndarray:
-    """Five words: the 64-bit SimHash of a text's distinct words, and the 256-bit SimHash of its k-shingles."""
+    """Five words: the 64-bit SimHash of a text's distinct words, and the 256-bit SimHash of its distinct k-shingles."""
     words = text.encode().lower().split() if text else []
     if not words:
         return np.zeros(5, np.uint64)
     kinds = list(set(words))
-    narrow, wide, n = np.zeros(64, np.int64), np.zeros(256, np.int64), max(1, len(words) - k + 1)
+    narrow, wide, every = np.zeros(64, np.int64), np.zeros(256, np.int64), shingle_set(words, k)
     for at in range(0, len(kinds), CHUNK):
         _majority(np.array([xxhash.xxh64_intdigest(w, SEED) for w in kinds[at : at + CHUNK]], np.uint64), narrow)
-    for at in range(0, n, CHUNK):
-        h = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(words[at : at + CHUNK + k - 1], k)], np.uint64)
+    for at in range(0, len(every), CHUNK):
+        h = every[at : at + CHUNK]
         more = [h]
         for _ in range(3):  # further hashes by the finaliser of splitmix64
             h = h + MIX[0]
@@ -274,7 +280,7 @@ def sketch(text: str | None, k: int = 5) -> np.ndarray:
             x = (x ^ (x >> np.uint64(27))) * MIX[2]
             more.append(x ^ (x >> np.uint64(31)))
         _majority(np.stack(more, 1), wide)
-    bits = np.concatenate([2 * narrow > len(kinds), 2 * wide > n])
+    bits = np.concatenate([2 * narrow > len(kinds), 2 * wide > len(every)])
     return np.packbits(bits).view(">u8").astype(np.uint64)
 
 

@@ -116,3 +116,19 @@ def test_components_of_a_path_a_star_and_a_ring(spark):
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert all(got[i] == 0 for i in range(1, 41)) and all(got[100 + i] == 100 for i in range(1, 50)) and all(got[200 + i] == 200 for i in range(1, 9))
     assert 300 not in got
+
+
+DOC = "doc_id long, text string"
+
+
+def some_words(rng, n):
+    return [f"w{rng.randrange(5000)}" for _ in range(n)]
+
+
+def test_copies_that_repeat_a_line_more_often_are_found(spark):
+    rng, rows = random.Random(11), []
+    for g in range(20):
+        body, line = some_words(rng, 120), some_words(rng, 12)
+        rows += [(2 * g, " ".join(body + line)), (2 * g + 1, " ".join(body + line * 21))]
+    got = dict(simhash.similar_components(spark.createDataFrame(rows, DOC)).collect())
+    assert all(got[i] == i - i % 2 for i, _ in rows)
