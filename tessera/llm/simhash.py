@@ -142,28 +142,48 @@ def link_runs(keys: list[np.ndarray], f: np.ndarray, limit: int) -> Forest:
     return forest
 
 
-def pick_pairs(keys: list[np.ndarray], f: np.ndarray, limit: int, sketch: np.ndarray, sketch_limit: int) -> tuple[np.ndarray, np.ndarray]:
+def near_pairs(keys: list[np.ndarray], sketch: np.ndarray, limit: int, short: int = 48) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index pairs (i < j) of rows of equal keys (sorted by key) whose sketches differ in at most `limit` bits, and how many differ."""
+    n = sketch.shape[1]
+    new = np.ones(n, bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    start = np.flatnonzero(new)
+    length = np.diff(np.append(start, n))
+    run = np.repeat(np.arange(len(start)), length)
+    end = (start + length)[run]
+
+    def apart(i, j):
+        return np.bitwise_count(sketch[:, i] ^ sketch[:, j]).sum(0, dtype=np.int64)
+
+    rows, lag = np.flatnonzero(length[run] <= short), 1
+    while len(rows := rows[rows + lag < end[rows]]):
+        d = apart(rows, rows + lag)
+        hit = d <= limit
+        yield rows[hit], rows[hit] + lag, d[hit]
+        lag += 1
+    for s, m in zip(start[length > short], length[length > short]):
+        for i in range(s, s + m - 1):
+            d = apart(slice(i, i + 1), slice(i + 1, s + m))
+            j = np.flatnonzero(d <= limit)
+            yield np.full(len(j), i), j + i + 1, d[j]
+
+
+def pick_pairs(keys: list[np.ndarray], sketch: np.ndarray, sketch_limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each row of a bucket two pairs at most: with the nearest sketch, and with the hub.
 
     The hub is the row, among those within `sketch_limit`, that most rows are clearly near to: the text that the others of
     a group are copies of. So groups give pairs in proportion to their rows.
     """
-    n = len(f)
+    n = sketch.shape[1]
     clear = sketch_limit - 9
     degree, nearest, hub = np.zeros(n, np.int64), np.full(n, np.iinfo(np.int64).max), np.full(n, -1, np.int64)
-
-    def near():
-        for i, j in run_pairs(keys, f, limit):
-            d = np.bitwise_count(sketch[:, i] ^ sketch[:, j]).sum(0).astype(np.int64)
-            keep = d <= sketch_limit
-            yield i[keep], j[keep], d[keep]
-
-    for i, j, d in near():
+    for i, j, d in near_pairs(keys, sketch, sketch_limit):
         at = d <= clear
-        degree += np.bincount(i[at], minlength=n) + np.bincount(j[at], minlength=n)
+        np.add.at(degree, i[at], 1)
+        np.add.at(degree, j[at], 1)
         np.minimum.at(nearest, i, (d << 32) | j)
         np.minimum.at(nearest, j, (d << 32) | i)
-    for i, j, _ in near():
+    for i, j, _ in near_pairs(keys, sketch, sketch_limit):
         np.maximum.at(hub, i, (degree[j] << 32) | (n - 1 - j))
         np.maximum.at(hub, j, (degree[i] << 32) | (n - 1 - i))
     rows = np.flatnonzero(hub >= 0)
@@ -183,13 +203,13 @@ def _linker(limit: int, keys: list[str]):
     return run
 
 
-def _picker(limit: int, keys: list[str], sketch_limit: int):
+def _picker(keys: list[str], sketch_limit: int):
     def run(batches):
         for t in runs_of(batches, keys):
             t = t.combine_chunks()
-            f, cid = t["fp"].to_numpy().view(np.uint64), t["cid"].to_numpy()
+            cid = t["cid"].to_numpy()
             sketches = np.stack([t[c].to_numpy().view(np.uint64) for c in SKETCH])
-            i, j = pick_pairs([t[k].to_numpy() for k in keys], f, limit, sketches, sketch_limit)
+            i, j = pick_pairs([t[k].to_numpy() for k in keys], sketches, sketch_limit)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cid[i], cid[j])), pa.array(np.maximum(cid[i], cid[j]))], names=["a", "b"])
 
     return run
@@ -245,15 +265,20 @@ def component_roots(classes: DataFrame, limit: int) -> DataFrame:
     return at.join(at.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
 
 
-#: Columns of the wide fingerprint of a text's shingles.
-SKETCH = ["s0", "s1", "s2", "s3"]
-#: Bits that the word fingerprints of similar texts rarely exceed in their differences.
-DIFFER = 7
+#: Columns of the hash of a text's shingle set, and of its sketch: a bit of each of 256 minimal hashes.
+CLASS, SKETCH = ["h0", "h1"], ["s0", "s1", "s2", "s3"]
+#: Texts meet where the minimal hashes of one of BANDS bands of BAND are equal: at a similarity of 0.8 one pair in 14,000 never does.
+BANDS, BAND = 24, 5
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+#: Odd factors, each of which orders the shingles in a way of its own.
+FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _majority(h: np.ndarray, votes: np.ndarray) -> None:
-    votes += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(len(h), -1), axis=1).sum(0, dtype=np.int64)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64."""
+    x = (x ^ (x >> np.uint64(30))) * MIX[1]
+    x = (x ^ (x >> np.uint64(27))) * MIX[2]
+    return x ^ (x >> np.uint64(31))
 
 
 def shingle_set(words: list[bytes], k: int) -> np.ndarray:
@@ -262,33 +287,29 @@ def shingle_set(words: list[bytes], k: int) -> np.ndarray:
     return np.unique(np.concatenate(parts))
 
 
-def sketch(text: str | None, k: int = 5) -> np.ndarray:
-    """Five words: the 64-bit SimHash of a text's distinct words, and the 256-bit SimHash of its distinct k-shingles."""
+def sketch(text: str | None, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(six words, keys of the bands): CLASS and SKETCH of the text's set of k-shingles; no keys without shingles."""
     words = text.encode().lower().split() if text else []
     if not words:
-        return np.zeros(5, np.uint64)
-    kinds = list(set(words))
-    narrow, wide, every = np.zeros(64, np.int64), np.zeros(256, np.int64), shingle_set(words, k)
-    for at in range(0, len(kinds), CHUNK):
-        _majority(np.array([xxhash.xxh64_intdigest(w, SEED) for w in kinds[at : at + CHUNK]], np.uint64), narrow)
-    for at in range(0, len(every), CHUNK):
-        h = every[at : at + CHUNK]
-        more = [h]
-        for _ in range(3):  # further hashes by the finaliser of splitmix64
-            h = h + MIX[0]
-            x = (h ^ (h >> np.uint64(30))) * MIX[1]
-            x = (x ^ (x >> np.uint64(27))) * MIX[2]
-            more.append(x ^ (x >> np.uint64(31)))
-        _majority(np.stack(more, 1), wide)
-    bits = np.concatenate([2 * narrow > len(kinds), 2 * wide > len(every)])
-    return np.packbits(bits).view(">u8").astype(np.uint64)
+        return np.zeros(6, np.uint64), np.zeros(0, np.uint64)
+    every, least = shingle_set(words, k), np.full(256, ~np.uint64(0))
+    for at in range(0, len(every), 512):
+        np.minimum(least, (FACTORS[:, None] * every[at : at + 512]).min(1), out=least)
+    whole = xxhash.xxh3_128_digest(every.tobytes(), SEED)
+    own = np.packbits(_mixed(least) >> np.uint64(63)).view(">u8").astype(np.uint64)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64) * MIX[0]
+    for part in least[: BANDS * BAND].reshape(BANDS, BAND).T:
+        key = _mixed((key ^ part) + MIX[0])
+    return np.concatenate([np.frombuffer(whole, np.uint64), own]), key
 
 
 def _sketches(k: int):
     def run(batches):
         for b in batches:
-            x = np.array([sketch(t, k) for t in b["text"].to_pylist()], np.uint64).reshape(b.num_rows, 5).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(5))], names=["doc_id", "fp", *SKETCH])
+            seen = [sketch(t, k) for t in b["text"].to_pylist()]
+            x = np.array([w for w, _ in seen], np.uint64).reshape(b.num_rows, 6).view(np.int64)
+            keys = pa.array([q.view(np.int64) for _, q in seen], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(6)), keys], names=["doc_id", *CLASS, *SKETCH, "keys"])
 
     return run
 
@@ -315,26 +336,20 @@ def jaccard_udf(k: int):
     return jaccard
 
 
-def similar_components(docs: DataFrame, k: int = 5, least: float = 0.8, sketch_limit: int = 54, limit: int = 16, bucket_rows: int = 4096) -> DataFrame:
+def similar_components(docs: DataFrame, k: int = 5, least: float = 0.8, sketch_limit: int = 54, bucket_rows: int = 4096) -> DataFrame:
     """(doc_id, component_id) of every row, linking texts whose k-word shingles have a Jaccard similarity of `least` or more.
 
-    Candidates come from two SimHashes, of a text's distinct words (64 bits) and of its shingles (256 bits). At a
-    similarity of 0.8 the latter differ in 39 bits on average, with a deviation of 6, and may differ in
-    `sketch_limit`; the former differ in 5 on average. Texts meet where they agree in one of several choices of
-    bits of the former, in a bucket that is searched by the Gray-order tree within `limit` bits. A choice has two bits less than it takes to tell
-    all texts apart, 16 at least, and there are as many choices as leave one in a hundred pairs of DIFFER bits unmet. Of each row and
-    bucket the pairs of `pick_pairs` are verified on the texts. Texts of equal fingerprints are one class.
+    Candidates meet in buckets of equal bands of minimal hashes of the shingle sets. How likely two texts meet depends on their
+    similarity alone, not on where they differ nor on the number of rows. The sketches of texts of a similarity of 0.8
+    differ in 26 of 256 bits on average, with a deviation of 5, and may differ in `sketch_limit`. Of each row and
+    bucket the pairs of `pick_pairs` are verified on the texts. Texts of equal shingle sets are one class.
     """
-    prints = written(docs.select("doc_id", "text").mapInArrow(_sketches(k), "doc_id long, fp long, s0 long, s1 long, s2 long, s3 long"))
-    classes = written(prints.groupBy("fp", *SKETCH).agg(F.min("doc_id").alias("least")).withColumn("cid", F.monotonically_increasing_id()))
-    width = max(16, int(np.ceil(np.log2(max(2, classes.count())))) - 2)
-    tables = int(np.ceil(np.log(0.01) / np.log(1 - (1 - DIFFER / 64) ** width)))
-    rng = np.random.default_rng(SEED)
-    masks = [sum(1 << int(b) for b in rng.choice(64, width, replace=False)) for _ in range(tables)]
-    keyed = classes.select(
-        "cid", "fp", *SKETCH, F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("combo", "bits")
-    )
-    found = [_by_bucket(rows, keys, _picker(limit, keys, sketch_limit)) for rows, keys in pieced(keyed, ["combo", "bits"], "cid", bucket_rows)]
+    prints = written(docs.select("doc_id", "text").mapInArrow(_sketches(k), "doc_id long, h0 long, h1 long, s0 long, s1 long, s2 long, s3 long, keys array<bigint>"))
+    classes = written(prints.groupBy(*CLASS).agg(F.min("doc_id").alias("least"), *(F.min(c).alias(c) for c in SKETCH), F.min("keys").alias("keys")).withColumn("cid", F.monotonically_increasing_id()))
+    keyed = classes.select("cid", F.explode("keys").alias("bits"))
+    shared = keyed.groupBy("bits").count().where("count > 1").select("bits")
+    live = written(keyed.join(shared, "bits").join(classes.select("cid", *SKETCH), "cid"))
+    found = [rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_picker(keys, sketch_limit), "a long, b long") for rows, keys in pieced(live, ["bits"], "cid", bucket_rows)]
     pairs = written(reduce(DataFrame.unionByName, found).distinct())
     ends = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
     texts = docs.select("doc_id", "text").join(classes.join(ends, "cid").select("cid", F.col("least").alias("doc_id")), "doc_id").select("cid", "text")
@@ -342,8 +357,8 @@ def similar_components(docs: DataFrame, k: int = 5, least: float = 0.8, sketch_l
     edges = pairs.join(x, "a").join(y, "b").where(jaccard_udf(k)("text_a", "text_b") >= least).select("a", "b")
     roots = connected_components(edges)
     at = classes.join(roots, classes.cid == roots.node, "left").withColumn("root", F.coalesce("root", "cid"))
-    named = at.join(at.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", *SKETCH, "component_id")
-    return prints.join(named, ["fp", *SKETCH]).select("doc_id", "component_id")
+    named = at.join(at.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(*CLASS, "component_id")
+    return prints.join(named, CLASS).select("doc_id", "component_id")
 
 
 def without_copies(docs: DataFrame, **options) -> DataFrame:

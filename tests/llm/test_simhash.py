@@ -132,3 +132,32 @@ def test_copies_that_repeat_a_line_more_often_are_found(spark):
         rows += [(2 * g, " ".join(body + line)), (2 * g + 1, " ".join(body + line * 21))]
     got = dict(simhash.similar_components(spark.createDataFrame(rows, DOC)).collect())
     assert all(got[i] == i - i % 2 for i, _ in rows)
+
+
+def edited(rng, base, kind):
+    n = len(base)
+    if kind == "cut":
+        return base[: int(0.82 * n)]
+    if kind == "longer":
+        return base + some_words(rng, int(0.2 * n))
+    if kind == "other end":
+        return base[: int(0.91 * n)] + some_words(rng, n - int(0.91 * n))
+    at = int(0.5 * n)
+    return base[:at] + some_words(rng, int(0.09 * n)) + base[at + int(0.09 * n) :]
+
+
+def brute_jaccard(a, b, k=5):
+    u, v = ({tuple(t[i : i + k]) for i in range(max(1, len(t) - k + 1))} for t in (a, b))
+    return len(u & v) / len(u | v)
+
+
+def test_cut_longer_and_spliced_copies_are_found(spark):
+    rng, rows, want = random.Random(12), [], {}
+    for g in range(600):
+        base = some_words(rng, 300)
+        copy = edited(rng, base, ("cut", "longer", "other end", "spliced")[g % 4])
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy))]
+        want |= {2 * g: 2 * g, 2 * g + 1: 2 * g + (brute_jaccard(base, copy) < 0.8)}
+    got = dict(simhash.similar_components(spark.createDataFrame(rows, DOC)).collect())
+    assert sum(i != c for i, c in want.items()) > 500
+    assert got == want
