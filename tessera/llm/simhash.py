@@ -168,27 +168,49 @@ def near_pairs(keys: list[np.ndarray], sketch: np.ndarray, limit: int, short: in
             yield np.full(len(j), i), j + i + 1, d[j]
 
 
-def pick_pairs(keys: list[np.ndarray], sketch: np.ndarray, sketch_limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row of a bucket two pairs at most: with the nearest sketch, and with the hub.
+def pick_pairs(keys: list[np.ndarray], sketch: np.ndarray, root: np.ndarray, sketch_limit: int, most: int, chunk: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, cut): of each row of a bucket pairs with the `most` nearest sketches and the hub, out of rows of other roots; and
+    the rows that have more of them.
 
     The hub is the row, among those within `sketch_limit`, that most rows are clearly near to: the text that the others of
     a group are copies of. So groups give pairs in proportion to their rows.
     """
     n = sketch.shape[1]
     clear = sketch_limit - 9
-    degree, nearest, hub = np.zeros(n, np.int64), np.full(n, np.iinfo(np.int64).max), np.full(n, -1, np.int64)
-    for i, j, d in near_pairs(keys, sketch, sketch_limit):
+    degree, near, hub = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1, np.int64)
+    kept, held = np.zeros((3, 0), np.int64), 0
+
+    def apart():
+        for i, j, d in near_pairs(keys, sketch, sketch_limit):
+            at = root[i] != root[j]
+            yield i[at], j[at], d[at]
+
+    def nearest(parts):
+        i, j, d = np.concatenate(parts, 1)
+        order = np.lexsort((j, d, i))
+        i = i[order]
+        start = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, np.int64)
+        place = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
+        return np.stack([i, j[order], d[order]])[:, place < most]
+
+    parts = [kept]
+    for i, j, d in apart():
         at = d <= clear
         np.add.at(degree, i[at], 1)
         np.add.at(degree, j[at], 1)
-        np.minimum.at(nearest, i, (d << 32) | j)
-        np.minimum.at(nearest, j, (d << 32) | i)
-    for i, j, _ in near_pairs(keys, sketch, sketch_limit):
-        np.maximum.at(hub, i, (degree[j] << 32) | (n - 1 - j))
-        np.maximum.at(hub, j, (degree[i] << 32) | (n - 1 - i))
+        np.add.at(near, i, 1)
+        np.add.at(near, j, 1)
+        parts.append(np.stack([np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([d, d])]))
+        held += 2 * len(i)
+        if held > chunk:
+            parts = [nearest(parts)]
+            held = 0
+    i, j, _ = nearest(parts)
+    for u, v, _ in apart():
+        np.maximum.at(hub, u, (degree[v] << 32) | (n - 1 - v))
+        np.maximum.at(hub, v, (degree[u] << 32) | (n - 1 - u))
     rows = np.flatnonzero(hub >= 0)
-    low = np.int64((1 << 32) - 1)
-    return np.concatenate([rows, rows]), np.concatenate([nearest[rows] & low, n - 1 - (hub[rows] & low)])
+    return np.concatenate([i, rows]), np.concatenate([j, n - 1 - (hub[rows] & np.int64((1 << 32) - 1))]), np.flatnonzero(near > most)
 
 
 def _linker(limit: int, keys: list[str]):
@@ -203,14 +225,28 @@ def _linker(limit: int, keys: list[str]):
     return run
 
 
-def _picker(keys: list[str], sketch_limit: int):
+def _picker(keys: list[str], sketch_limit: int, most: int | None):
+    """Pairs of `pick_pairs`, and a row without b for each run of buckets that has more; all pairs of different roots if most is None."""
+
+    def named(cid, i, j, cut=0):
+        a, b = np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])
+        more = np.full(min(cut, 1), -1)
+        gone = np.arange(len(b) + len(more)) >= len(b)
+        return pa.RecordBatch.from_arrays([pa.array(np.append(a, more)), pa.array(np.append(b, more), mask=gone)], names=["a", "b"])
+
     def run(batches):
         for t in runs_of(batches, keys):
             t = t.combine_chunks()
-            cid = t["cid"].to_numpy()
-            sketches = np.stack([t[c].to_numpy().view(np.uint64) for c in SKETCH])
-            i, j = pick_pairs([t[k].to_numpy() for k in keys], sketches, sketch_limit)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cid[i], cid[j])), pa.array(np.maximum(cid[i], cid[j]))], names=["a", "b"])
+            cid, root = t["cid"].to_numpy(), t["root"].to_numpy()
+            sketches, own = np.stack([t[c].to_numpy().view(np.uint64) for c in SKETCH]), [t[k].to_numpy() for k in keys]
+            if most is None:
+                for i, j, _ in near_pairs(own, sketches, sketch_limit):
+                    at = root[i] != root[j]
+                    if at.any():
+                        yield named(cid, i[at], j[at])
+            else:
+                i, j, cut = pick_pairs(own, sketches, root, sketch_limit, most)
+                yield named(cid, i, j, len(cut))
 
     return run
 
@@ -270,6 +306,8 @@ CLASS, SKETCH = ["h0", "h1"], ["s0", "s1", "s2", "s3"]
 #: Texts meet where the minimal hashes of one of BANDS bands of BAND are equal: at a similarity of 0.8 one pair in 14,000 never does.
 BANDS, BAND = 24, 5
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+#: Nearest candidates of a row that a round picks at most; the round after that takes every candidate.
+MOST = 256
 #: Odd factors, each of which orders the shingles in a way of its own.
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -341,21 +379,40 @@ def similar_components(docs: DataFrame, k: int = 5, least: float = 0.8, sketch_l
 
     Candidates meet in buckets of equal bands of minimal hashes of the shingle sets. How likely two texts meet depends on their
     similarity alone, not on where they differ nor on the number of rows. The sketches of texts of a similarity of 0.8
-    differ in 26 of 256 bits on average, with a deviation of 5, and may differ in `sketch_limit`. Of each row and
-    bucket the pairs of `pick_pairs` are verified on the texts. Texts of equal shingle sets are one class.
+    differ in 26 of 256 bits on average, with a deviation of 5, and may differ in `sketch_limit`. Candidates are
+    verified on the texts in rounds: of each row and bucket the pairs of `pick_pairs`, then, among rows that are not yet in one
+    component, four times as many in each round and from MOST on all at once, until no candidate is left out. So a group of copies gives pairs
+    in proportion to its rows, and every candidate pair is verified or lies in one component. Texts of equal shingle sets are one class.
     """
     prints = written(docs.select("doc_id", "text").mapInArrow(_sketches(k), "doc_id long, h0 long, h1 long, s0 long, s1 long, s2 long, s3 long, keys array<bigint>"))
     classes = written(prints.groupBy(*CLASS).agg(F.min("doc_id").alias("least"), *(F.min(c).alias(c) for c in SKETCH), F.min("keys").alias("keys")).withColumn("cid", F.monotonically_increasing_id()))
     keyed = classes.select("cid", F.explode("keys").alias("bits"))
     shared = keyed.groupBy("bits").count().where("count > 1").select("bits")
     live = written(keyed.join(shared, "bits").join(classes.select("cid", *SKETCH), "cid"))
-    found = [rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_picker(keys, sketch_limit), "a long, b long") for rows, keys in pieced(live, ["bits"], "cid", bucket_rows)]
-    pairs = written(reduce(DataFrame.unionByName, found).distinct())
-    ends = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    texts = docs.select("doc_id", "text").join(classes.join(ends, "cid").select("cid", F.col("least").alias("doc_id")), "doc_id").select("cid", "text")
-    x, y = (texts.select(F.col("cid").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
-    edges = pairs.join(x, "a").join(y, "b").where(jaccard_udf(k)("text_a", "text_b") >= least).select("a", "b")
-    roots = connected_components(edges)
+    roots = seen = None
+    most, left = 1, True
+    while left:
+        if roots is None:
+            now = live.withColumn("root", F.col("cid"))
+        else:
+            now = live.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+            split = now.groupBy("bits").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bits")
+            now = written(now.join(split, "bits"))
+        found = [rows.repartition(*keys).sortWithinPartitions(*keys, "cid").mapInArrow(_picker(keys, sketch_limit, most), "a long, b long") for rows, keys in pieced(now, ["bits"], "cid", bucket_rows)]
+        found = written(reduce(DataFrame.unionByName, found).distinct())
+        left, pairs = not found.where("b IS NULL").isEmpty(), found.where("b IS NOT NULL")
+        if seen is not None:
+            pairs = written(pairs.join(seen, ["a", "b"], "left_anti"))
+        ends = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+        texts = docs.select("doc_id", "text").join(classes.join(ends, "cid").select("cid", F.col("least").alias("doc_id")), "doc_id").select("cid", "text")
+        x, y = (texts.select(F.col("cid").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
+        edges = pairs.join(x, "a").join(y, "b")
+        edges = edges.where(jaccard_udf(k)("text_a", "text_b") >= least).select("a", "b")
+        if roots is None:
+            roots, seen = connected_components(edges), pairs
+        else:
+            roots, seen = connected_components(edges.unionByName(roots.toDF("a", "b"))), seen.unionByName(pairs)
+        most = most * 4 if most and most < MOST else None
     at = classes.join(roots, classes.cid == roots.node, "left").withColumn("root", F.coalesce("root", "cid"))
     named = at.join(at.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(*CLASS, "component_id")
     return prints.join(named, CLASS).select("doc_id", "component_id")

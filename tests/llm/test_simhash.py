@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from tessera.llm import simhash
@@ -161,3 +162,37 @@ def test_cut_longer_and_spliced_copies_are_found(spark):
     got = dict(simhash.similar_components(spark.createDataFrame(rows, DOC)).collect())
     assert sum(i != c for i, c in want.items()) > 500
     assert got == want
+
+
+def brute_similar(texts):
+    words = [t.split() for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and brute_jaccard(words[i], words[j]) >= 0.8:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("most", [256, 4])
+def test_template_texts_do_not_hide_a_pair_and_chains_of_copies_stay_whole(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "MOST", most)
+    rng, texts = random.Random(13), []
+    template = some_words(rng, 170)
+    for _ in range(150):
+        texts.append(template + some_words(rng, 27))
+    for _ in range(20):
+        twin = template + some_words(rng, 27)
+        texts += [twin, twin[:-20] + some_words(rng, 20)]
+    for _ in range(5):
+        word = some_words(rng, 200)
+        for _ in range(30):
+            texts.append(list(word))
+            at = rng.randrange(180)
+            word[at : at + 12] = some_words(rng, 12)
+    texts = [" ".join(t) for t in texts]
+    want = brute_similar(texts)
+    assert len(set(want[:190])) == 170
+    got = dict(simhash.similar_components(spark.createDataFrame(list(enumerate(texts)), DOC)).collect())
+    assert [got[i] for i in range(len(texts))] == want
