@@ -3,252 +3,325 @@
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-from dataclasses import dataclass
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import remainder, written
 
-#: Longest context in bytes; contexts and symbols in them rarer than this share of all bytes give way to shorter contexts.
-ORDER, RARE = 5, 2.0**-21
-#: Frequent words that every task holds: a fixed number, so that they may be broadcast.
-FREQUENT = 1 << 16
-#: Symbols that no word holds: what ends a word, and what ends a text.
-SPACE, STOP = 0x20, 0x0A
+#: Longest context in bytes.
+ORDER = 5
+#: The byte that stands before a text, as often as a context is long, and that ends it; no word holds it.
+STOP = b"\n"
 SYMBOLS = 256
+#: Bytes of text whose distinct contexts are listed together, of text that is looked at at once, and of text for each shard.
+CHUNK, SLICE, SHARD = 32 << 20, 8 << 20, 16 << 20
+#: What a row of an inventory, of a chunk's values and of texts is about.
+GRAM, WORD, TEXT = 0, 1, 2
 
 
 def is_training(doc_id, modulus: int = 7, held_out: int = 2) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus != held_out
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return text.encode().lower().split() if text else []
+def stream_of(text: str | None) -> bytes:
+    """The words of a text, A-Z in lower case, with one space for each gap."""
+    return b" ".join(text.encode().lower().split()) if text else b""
+
+
+def grams_of(streams: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(grams, start): each byte of the streams, and the end of each, behind the `order` bytes before it, as one number;
+    and where each stream's grams start. Contexts run over the whole stream, from STOPs before it on."""
+    whole = b"".join([STOP * order + s + STOP for s in streams]) + bytes(8)
+    size = np.array([len(s) for s in streams], np.int64)
+    begin = np.cumsum(size + order + 1) - (size + order + 1)
+    n = len(whole) - 8 - order
+    if not streams or n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.ndarray((n,), ">u8", whole, 0, (1,)).astype(np.uint64)
+    grams = (at >> np.uint64(8 * (7 - order))).view(np.int64)
+    keep = np.ones(n, bool)  # not those whose symbol is a STOP before the next stream
+    keep[(begin[1:, None] - order + np.arange(order)).ravel()] = False
+    return grams[keep], np.cumsum(size + 1) - (size + 1)
+
+
+def words_of(streams: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """(words, words of each stream)."""
+    if not streams:
+        return pa.array([], pa.binary()), np.zeros(0, np.int64)
+    lists = pc.split_pattern(pa.array(streams, pa.binary()), pattern=b" ")
+    n, words = lists.value_lengths().to_numpy().astype(np.int64), lists.flatten()
+    empty = np.array([not s for s in streams])
+    if empty.any():  # nothing gives one empty word
+        words = words.filter(pc.not_equal(words, pa.scalar(b"", pa.binary())))
+        n[empty] = 0
+    return words, n
+
+
+def sums_of(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of the counts of each."""
+    k, c = np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.int64), *counts])
+    order = np.argsort(k, kind="stable")
+    k, c = k[order], c[order]
+    first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+    return k[first], np.add.reduceat(c, first) if len(k) else c
+
+
+def word_sums(tables: list[pa.Table]) -> pa.Table:
+    whole = pa.concat_tables(tables) if tables else pa.table({"w": pa.array([], pa.binary()), "c": pa.array([], pa.int64())})
+    return whole.group_by("w").aggregate([("c", "sum")]).rename_columns(["w", "c"])
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """(doc_id, chunk, train, size, stream) of every row, stored; a chunk is about CHUNK bytes of neighbouring texts."""
+
+    def place(batches):
+        chunk, held = TaskContext.get().partitionId() << 32, 0
+        for b in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
+            ids, streams, chunks = b["doc_id"].to_pylist(), [stream_of(t) for t in b["text"].to_pylist()], []
+            for s in streams:
+                if held and held + len(s) > CHUNK:
+                    chunk, held = chunk + 1, 0
+                held += len(s) + 1
+                chunks.append(chunk)
+            yield pa.RecordBatch.from_arrays(
+                [b["doc_id"], pa.array(chunks, pa.int64()), pa.array([is_training(i) for i in ids], pa.bool_()), pa.array([len(s) + 1 for s in streams], pa.int64()), pa.array(streams, pa.binary())],
+                names=["doc_id", "chunk", "train", "size", "stream"],
+            )
 
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return written(rows.mapInArrow(place, "doc_id long, chunk long, train boolean, size long, stream binary"))
 
-def context_keys(words: list[bytes], order: int = ORDER) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-    """(symbols, contexts by length, history lengths, word numbers) of the words' bytes.
 
-    Each word is coded from a boundary byte that starts every context and is followed by a boundary, so that contexts
-    never reach into the word before; the empty word stands for the end of a text.
-    """
-    stream = np.frombuffer(b" " + b" ".join(w or b"\n" for w in words) + b" ", np.uint8).astype(np.int64)
-    space = stream == SPACE
-    start = np.maximum.accumulate(np.where(space, np.arange(len(stream)), 0))
-    at = np.arange(1, len(stream))
-    history = at - start[at - 1]
-    number = np.cumsum(space)[at - 1] - 1
-    ends = np.fromiter((not w for w in words), bool, len(words))[number]
-    keep = ~(ends & (stream[at] == SPACE))  # nothing follows the end of a text
-    at, history, number = at[keep], np.minimum(history[keep], order), number[keep]
-    keys = [np.zeros(len(at), np.int64)]
-    for d in range(1, order + 1):
-        back = np.where(history >= d, stream[np.maximum(at - d, 0)], 0)
-        keys.append(keys[-1] | (back << (8 * (d - 1))))
-    return stream[at], keys, history, number
-
-
-def pack(order: int, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """Context length, context and symbol as one number."""
-    return (np.int64(order) << 48) | (context << 8) | symbol
-
-
-def count_contexts(words: list[bytes], counts: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct packed (context, symbol) of all lengths, and how often they occur."""
-    symbol, keys, history, number = context_keys(words, order)
-    weight = counts[number]
-    out, total = [], []
-    for d in range(order + 1):
-        have = history >= d
-        k, inverse = np.unique(pack(d, keys[d][have], symbol[have]), return_inverse=True)
-        out.append(k)
-        total.append(np.bincount(inverse, weight[have], len(k)).astype(np.int64))
-    return np.concatenate(out), np.concatenate(total)
-
-
-@dataclass
-class Trie:
-    """Contexts of each length with what scoring needs, in sorted arrays.
-
-    A context's escape estimate is one count for each symbol seen in it, and those of pruned symbols. After an escape
-    the symbols of the longer context can't come, so they are left out of the counts of
-    the shorter one: both kinds of totals are kept with each context.
-    """
-
-    order: int
-    nodes: list[np.ndarray]
-    #: log10 of total and of escape count, met first; and of the suffix context when met by an escape from this one
-    total: list[np.ndarray]
-    escape: list[np.ndarray]
-    suffix_total: list[np.ndarray]
-    suffix_escape: list[np.ndarray]
-    pairs: list[np.ndarray]
-    pair_log: list[np.ndarray]
-    #: symbols left at the end of all escapes
-    unseen: int
-
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word with what ends it; of the end of a text for the empty word."""
-        if not words:
-            return np.zeros(0)
-        symbol, keys, history, number = context_keys(words, self.order)
-        cost = np.zeros(len(symbol))
-        came = np.full(len(symbol), -1)  # the node escaped from, one length longer
-        alive = np.arange(len(symbol))
-        for d in range(self.order, -1, -1):
-            nodes = self.nodes[d]
-            if not len(nodes):
-                continue
-            now = alive[history[alive] >= d]
-            context = keys[d][now]
-            node = np.minimum(np.searchsorted(nodes, context), len(nodes) - 1)
-            known = nodes[node] == context
-            now, node, context = now[known], node[known], context[known]
-            first = came[now] < 0
-            up = came[now]
-            total, escape = self.total[d][node], self.escape[d][node]
-            if d < self.order and len(self.suffix_total[d + 1]):
-                total = np.where(first, total, self.suffix_total[d + 1][up])
-                escape = np.where(first, escape, self.suffix_escape[d + 1][up])
-            key = (context << 8) | symbol[now]
-            pairs = self.pairs[d]
-            at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-            hit = pairs[at] == key
-            cost[now[hit]] += self.pair_log[d][at[hit]] - total[hit]
-            cost[now[~hit]] += escape[~hit] - total[~hit]
-            came[now[~hit]] = node[~hit]
-            done = np.zeros(len(symbol), bool)
-            done[now[hit]] = True
-            alive = alive[~done[alive]]
-        cost[alive] -= np.log10(max(1, self.unseen))
-        return np.bincount(number, cost, len(words))
-
-
-def build(keys: np.ndarray, counts: np.ndarray, rest_keys: np.ndarray, rest: np.ndarray, order: int = ORDER) -> Trie:
-    """The trie of packed contexts and symbols with their counts.
-
-    A pair that is kept is kept in all shorter contexts too. rest: what the dropped pairs of a context (its packed key
-    without the symbol) sum to; it stays in the context's total, as part of its escapes.
-    """
-    sort = np.argsort(keys)
-    keys, counts = keys[sort], counts[sort].astype(float)
-    length = keys >> 48
-    left_over = dict(zip(rest_keys.tolist(), rest.tolist()))
-    nodes, total, escape, s_total, s_escape, pairs, logs = ([] for _ in range(7))
-    unseen = SYMBOLS
-    for d in range(order + 1):
-        pair, count = keys[length == d] & ((1 << 48) - 1), counts[length == d]
-        node, at = np.unique(pair >> 8, return_inverse=True)
-        kinds = np.bincount(at, minlength=len(node)).astype(float)
-        kept = np.bincount(at, count, len(node))
-        whole = kept + np.array([left_over.get((d << 40) | x, 0) for x in node.tolist()], float).reshape(len(node))
-        nodes.append(node)
-        total.append(np.log10(whole + kinds))
-        escape.append(np.log10(whole - kept + kinds))
-        if d and len(node):
-            # counts of the kept symbols in the suffix context: without the oldest byte
-            gone = np.bincount(at, b_count[np.searchsorted(b_pair, pair & ((1 << (8 * d)) - 1))], len(node))
-            suffix = np.searchsorted(b_node, node & ((1 << (8 * (d - 1))) - 1))
-            left_kinds, least = b_kinds[suffix] - kinds, 1e-300
-            s_total.append(np.log10(np.maximum(b_whole[suffix] - gone + left_kinds, least)))
-            s_escape.append(np.log10(np.maximum(b_whole[suffix] - b_kept[suffix] + left_kinds, least)))
-        else:
-            s_total.append(np.zeros(0))
-            s_escape.append(np.zeros(0))
-        if not d:
-            unseen = SYMBOLS - len(pair)
-        pairs.append(pair)
-        logs.append(np.log10(count))
-        b_pair, b_count, b_node, b_whole, b_kept, b_kinds = pair, count, node, whole, kept, kinds
-    return Trie(order, nodes, total, escape, s_total, s_escape, pairs, logs, unseen)
-
-
-def _merged(batches, schema, of_batch):
-    """Sums of key and count over a task's batches, merged as they come."""
-    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[tuple[int, list]]:
+    """(chunk, rows) of neighbouring texts of one chunk, about `size` bytes at a time."""
+    held, chunk, rows = 0, None, []
     for b in batches:
-        k, c = of_batch(b)
-        keys, inverse = np.unique(np.concatenate([keys, k]), return_inverse=True)
-        counts = np.bincount(inverse, np.concatenate([counts, c]), len(keys)).astype(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=schema)
+        for r in zip(b["chunk"].to_pylist(), b["train"].to_pylist(), b["stream"].to_pylist()):
+            if rows and (r[0] != chunk or held + len(r[2]) > size):
+                yield chunk, rows
+                held, rows = 0, []
+            chunk = r[0]
+            rows.append(r)
+            held += len(r[2])
+    if rows:
+        yield chunk, rows
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c) of all documents: occurrences in training documents, 0 for words of held-out ones alone.
+def inventory(texts: DataFrame, shards: int, order: int) -> DataFrame:
+    """(kind, shard, chunk, keys, counts): each chunk's distinct grams and words with their counts in training texts, by shard, stored.
 
-    The empty word counts the ends of texts.
+    Grams and words that only held-out texts have come with 0. Lists travel as one value for each chunk and shard.
     """
 
-    def count(batches):
-        for b in batches:
-            train, other = Counter(), set()
-            for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
-                if is_training(doc_id):
-                    train.update(tokens(text))
-                    train[b""] += 1
-                else:
-                    other.update(tokens(text))
-            other.difference_update(train)
-            words = [*train, *other]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array([train[w] for w in words], pa.int64())], names=["word", "c"])
-
-    return docs.select("doc_id", "text").mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def train(words: DataFrame, order: int = ORDER) -> Trie:
-    """The trie of all words' training occurrences.
-
-    Pairs of a context longer than a byte and a symbol rarer than RARE of all bytes are dropped, so that at most 1 / RARE
-    pairs of each length come to the driver and the model's size is bounded, whatever the input's.
+    def packed(chunk, keys, counts, tables):
+        gram, n = sums_of(keys, counts)
+        shard = gram % shards
+        by = np.argsort(shard, kind="stable")
+        ends = np.flatnonzero(np.append(shard[by][1:] != shard[by][:-1], True)) + 1 if len(by) else []
+        start = 0
+        for e in ends:
+            at = by[start:e]
+            yield GRAM, int(shard[at[0]]), chunk, gram[at].tobytes(), n[at].tobytes()
+            start = e
+        words = word_sums(tables)
+        own, c = words["w"].to_pylist(), words["c"].to_numpy()
+        shard = np.array([zlib.crc32(w) % shards for w in own], np.int64)
+        by = np.argsort(shard, kind="stable")
+        ends = np.flatnonzero(np.append(shard[by][1:] != shard[by][:-1], True)) + 1 if len(by) else []
+        start = 0
+        for e in ends:
+            at = by[start:e]
+            yield WORD, int(shard[at[0]]), chunk, b" ".join([own[i] for i in at]), c[at].astype(np.int64).tobytes()
+            start = e
+
+    def rows(out):
+        kind, shard, chunk, keys, counts = zip(*out)
+        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(shard, pa.int64()), pa.array(chunk, pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["kind", "shard", "chunk", "keys", "counts"])
+
+    def run(batches):
+        now, keys, counts, tables = None, [], [], []
+        for chunk, part in slices(batches):
+            if chunk != now and now is not None:
+                yield rows(packed(now, keys, counts, tables))
+                keys, counts, tables = [], [], []
+            now = chunk
+            for train in (True, False):
+                own = [s for _, t, s in part if t == train]
+                gram, n = np.unique(grams_of(own, order)[0], return_counts=True)
+                keys.append(gram)
+                counts.append(n * train)
+                words = words_of(own)[0].value_counts()
+                tables.append(pa.table({"w": words.field("values"), "c": pa.array(words.field("counts").to_numpy() * train, pa.int64())}))
+            if len(keys) > 8:  # one list for each kind while the chunk goes on
+                k, c = sums_of(keys, counts)
+                keys, counts, tables = [k], [c], [word_sums(tables)]
+        if now is not None:
+            yield rows(packed(now, keys, counts, tables))
+
+    return written(texts.select("chunk", "train", "stream").mapInArrow(run, "kind int, shard long, chunk long, keys binary, counts binary"))
+
+
+def by_shard(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[dict]]]:
+    """Rows of equal keys, out of batches sorted by them."""
+    now, held = None, []
+    for b in batches:
+        for r in b.to_pylist():
+            own = tuple(r[k] for k in keys)
+            if own != now and held:
+                yield now, held
+                held = []
+            now = own
+            held.append(r)
+    if held:
+        yield now, held
+
+
+def totals(listed: DataFrame) -> DataFrame:
+    """(kind, shard, gram, word, c): every distinct gram and word with its count in all training texts, stored."""
+
+    def run(batches):
+        for (kind, shard), rows in by_shard(batches, ["kind", "shard"]):
+            counts = [np.frombuffer(r["counts"], np.int64) for r in rows]
+            if kind == GRAM:
+                k, c = sums_of([np.frombuffer(r["keys"], np.int64) for r in rows], counts)
+                gram, word = pa.array(k), pa.nulls(len(k), pa.binary())
+            else:
+                t = word_sums([pa.table({"w": pa.array(r["keys"].split(b" "), pa.binary()), "c": c}) for r, c in zip(rows, counts)])
+                word, c = t["w"].combine_chunks(), t["c"].to_numpy()
+                gram = pa.nulls(len(c), pa.int64())
+            n = len(c)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind), pa.int32()), pa.array(np.full(n, shard), pa.int64()), gram, word, pa.array(c, pa.int64())], names=["kind", "shard", "gram", "word", "c"])
+
+    dealt = listed.select("kind", "shard", "keys", "counts").repartition("kind", "shard").sortWithinPartitions("kind", "shard")
+    return written(dealt.mapInArrow(run, "kind int, shard long, gram long, word binary, c long"))
+
+
+def suffix(gram: Column, length: int) -> Column:
+    """The last `length` bytes."""
+    return gram.bitwiseAND(F.lit((1 << (8 * length)) - 1))
+
+
+def trie(grams: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, contexts) of the byte-context trie of grams (gram, c), both stored.
+
+    pairs: depth d, key (a context of d bytes and a symbol) and n, how often it occurs. contexts: depth, ctx, t (all symbols'
+    occurrences), q (distinct symbols, the escape estimate of method C) and e, what its symbols count in the context that is one
+    byte shorter: they can't come after an escape to it, so they are left out there.
     """
+    seen = grams.where("c > 0")
+    each = seen.select("c", F.explode(F.array(*(F.struct(F.lit(d).alias("d"), suffix(F.col("gram"), d + 1).alias("key")) for d in range(order + 1)))).alias("p"))
+    pairs = written(each.groupBy("p.d", "p.key").agg(F.sum("c").alias("n")))
+    shorter = pairs.select((F.col("d") + 1).alias("d"), F.col("key").alias("short"), F.col("n").alias("n_short"))
+    met = pairs.withColumn("short", F.expr("key & (shiftleft(1L, 8 * d) - 1)")).join(shorter, ["d", "short"], "left")
+    contexts = met.groupBy("d", F.shiftright("key", 8).alias("ctx")).agg(F.sum("n").alias("t"), F.count("*").alias("q"), F.coalesce(F.sum("n_short"), F.lit(0)).alias("e"))
+    return pairs, written(contexts)
 
-    def contexts(batches):
-        def of_batch(b):
-            c = b["c"].to_numpy()
-            own = np.flatnonzero(c > 0)
-            w = b["word"].cast(pa.binary()).to_pylist()
-            return count_contexts([w[i] for i in own], c[own], order) if len(own) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-        yield from _merged(batches, ["key", "n"], of_batch)
 
-    counted = written(words.where("c > 0").mapInArrow(contexts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
-    every = counted.where(F.shiftright("key", 48) == 0).agg(F.sum("n")).first()[0]
-    if not every:
-        return Trie(order, *([np.zeros(0, np.int64)] * (order + 1) for _ in range(7)), SYMBOLS)
-    length, least = F.shiftright("key", 48), RARE * every
-    rare = (length > 1) & (F.col("n") < least)
-    rows = counted.where(~rare).toPandas()
-    rest = counted.where(rare).groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()
-    return build(rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), rest["context"].to_numpy(np.int64), rest["n"].to_numpy(np.int64), order)
+def gram_costs(grams: DataFrame, order: int) -> DataFrame:
+    """(shard, gram, cost): log10 probability of each gram's symbol in its context, with escapes to shorter contexts and exclusion.
 
-
-def frequent_words(words: DataFrame) -> DataFrame:
-    """The words of the highest counts, FREQUENT at most.
-
-    A histogram of the counts' logarithms tells from which count on the words are few enough, so that no task has to send
-    its own first FREQUENT words.
+    Grams of the training texts end in their longest context. The others look up every suffix: contexts of a byte and of none are
+    256 and 65,536 symbols in them at most, so these are broadcast, and longer ones meet in shuffle joins.
     """
-    own = words.where("c > 0 AND word <> ''").withColumn("level", F.floor(8 * F.log2("c")).cast("int"))
-    room, least = FREQUENT, None
-    for r in sorted(own.groupBy("level").count().collect(), key=lambda r: -r["level"]):
-        room -= r["count"]
-        if room < 0:
-            break
-        least = r["level"]
-    return own.where(F.col("level") >= least if least is not None else F.lit(False)).select("word", "c")
-
-
-def blend(bytewise: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
-    """log10 of the even mixture of the byte model and the whole word's share of the training tokens."""
-    if not n:
-        return bytewise
-    with np.errstate(divide="ignore"):
-        return np.logaddexp(bytewise * np.log(10), np.log(c / n)) / np.log(10) - np.log10(2)
+    pairs, contexts = trie(grams, order)
+    top = contexts.where(F.col("d") == order).select("ctx", "t", "q")
+    seen = grams.where("c > 0").withColumn("ctx", F.shiftright("gram", 8)).join(top, "ctx").select("shard", "gram", (F.log10("c") - F.log10(F.col("t") + F.col("q"))).alias("cost"))
+    new = grams.where("c = 0").select("shard", "gram")
+    long = [d for d in range(order, -1, -1) if d >= 2]
+    stats = ["t", "q", "e", "n"]
+    if long:
+        each = new.select("shard", "gram", F.explode(F.array(*(F.struct(F.lit(d).alias("d"), suffix(F.col("gram"), d + 1).alias("key"), F.shiftright(suffix(F.col("gram"), d + 1), 8).alias("ctx")) for d in long))).alias("p")).select("shard", "gram", "p.*")
+        each = each.join(contexts.where("d >= 2"), ["d", "ctx"], "left").join(pairs.where("d >= 2"), ["d", "key"], "left")
+        new = each.groupBy("shard", "gram").agg(*(F.max(F.when(F.col("d") == d, F.col(c))).alias(f"{c}{d}") for d in long for c in stats))
+    for d in range(min(order, 1), -1, -1):
+        c = contexts.where(F.col("d") == d).select(F.col("ctx").alias("_ctx"), *(F.col(x).alias(f"{x}{d}") for x in "tqe"))
+        p = pairs.where(F.col("d") == d).select(F.col("key").alias("_key"), F.col("n").alias(f"n{d}"))
+        new = new.join(F.broadcast(c), F.shiftright(suffix(F.col("gram"), d + 1), 8) == F.col("_ctx"), "left").drop("_ctx")
+        new = new.join(F.broadcast(p), suffix(F.col("gram"), d + 1) == F.col("_key"), "left").drop("_key")
+    cost, still = F.lit(0.0), F.lit(True)
+    for d in range(order, -1, -1):
+        zero = F.lit(0)
+        left_out, kinds_out = (F.coalesce(F.col(f"{c}{d + 1}"), zero) if d < order else zero for c in "eq")
+        escape = F.col(f"q{d}") - kinds_out
+        total = F.col(f"t{d}") - left_out + escape
+        step = F.when(F.col(f"n{d}").isNotNull(), F.log10(f"n{d}") - F.log10(total)).when(F.col(f"t{d}").isNotNull() & (escape > 0), F.log10(escape) - F.log10(total)).otherwise(F.lit(0.0))
+        cost = cost + F.when(still, step).otherwise(F.lit(0.0))
+        still = still & F.col(f"n{d}").isNull()
+    unseen = F.greatest(F.lit(1), F.lit(SYMBOLS) - F.coalesce("q0", F.lit(0)))
+    cost = cost - F.when(still, F.log10(unseen)).otherwise(F.lit(0.0))
+    return seen.unionByName(new.select("shard", "gram", cost.alias("cost")))
+
+
+def chunk_values(listed: DataFrame, known: DataFrame, costs: DataFrame) -> DataFrame:
+    """(kind, chunk, keys, numbers): the costs of each chunk's grams and the counts of its words, by shard."""
+
+    def run(batches):
+        kinds = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("numbers", pa.binary())])
+        now, gram, value, words = None, [], [], {}
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                if (r["kind"], r["shard"]) != now:
+                    now, gram, value, words = (r["kind"], r["shard"]), [], [], {}
+                if r["chunk"] is None:
+                    if r["kind"] == GRAM:
+                        gram.append(r["gram"])
+                        value.append(r["value"])
+                    else:
+                        words[r["word"]] = int(r["value"])
+                elif r["kind"] == GRAM:
+                    if isinstance(gram, list):
+                        gram, value = np.array(gram, np.int64), np.array(value, float)
+                        order = np.argsort(gram)
+                        gram, value = gram[order], value[order]
+                    out.append((GRAM, r["chunk"], r["keys"], value[np.searchsorted(gram, np.frombuffer(r["keys"], np.int64))].tobytes()))
+                else:
+                    out.append((WORD, r["chunk"], r["keys"], np.array([words[w] for w in r["keys"].split(b" ")], np.int64).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k.type) for x, k in zip(zip(*out), kinds)], schema=kinds)
+
+    null = lambda kind: F.lit(None).cast(kind)
+    entries = known.where(F.col("kind") == WORD).select("kind", "shard", null("long").alias("chunk"), null("long").alias("gram"), "word", F.col("c").cast("double").alias("value"), null("binary").alias("keys"))
+    entries = entries.unionByName(costs.select(F.lit(GRAM).alias("kind"), "shard", null("long").alias("chunk"), "gram", null("binary").alias("word"), F.col("cost").alias("value"), null("binary").alias("keys")))
+    asked = listed.select("kind", "shard", "chunk", null("long").alias("gram"), null("binary").alias("word"), null("double").alias("value"), "keys")
+    both = entries.unionByName(asked).repartition("kind", "shard").sortWithinPartitions("kind", "shard", F.asc_nulls_first("chunk"))
+    return both.mapInArrow(run, "kind int, chunk long, keys binary, numbers binary")
+
+
+class Scorer:
+    """Scores streams by the costs of a chunk's grams and the counts of its words."""
+
+    def __init__(self, grams: list, words: list, order: int, n: int, v: int, ends: int):
+        key = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(k, np.int64) for k, _ in grams)])
+        cost = np.concatenate([np.zeros(0), *(np.frombuffer(c, float) for _, c in grams)])
+        by = np.argsort(key, kind="stable")
+        self.key, self.cost, self.order = key[by], cost[by], order
+        self.words = pa.array([w for k, _ in words for w in k.split(b" ")], pa.binary())
+        self.counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(c, np.int64) for _, c in words)])
+        self.least, self.ends = np.log10(n + v + 1), ends
+
+    def score(self, streams: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens, known tokens, base score, score) of each stream."""
+        gram, start = grams_of(streams, self.order)
+        by = np.argsort(gram)
+        run = gram[by]
+        first = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+        cost = np.empty(len(gram))
+        cost[by] = np.repeat(self.cost[np.searchsorted(self.key, run[first])], np.diff(np.append(first, len(run))))
+        words, n = words_of(streams)
+        listed = words.dictionary_encode()
+        count = self.counts[pc.index_in(listed.dictionary, value_set=self.words).to_numpy(zero_copy_only=False)][listed.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+        doc = np.repeat(np.arange(len(n)), n)
+        known = np.bincount(doc, count > 0, len(n)).astype(np.int64) + (self.ends > 0)
+        base = np.bincount(doc, np.log10(count + 1), len(n)) + np.log10(self.ends + 1) - (n + 1) * self.least
+        return n + 1, known, base, np.add.reduceat(cost, start)
 
 
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
@@ -256,79 +329,55 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     base_score is the smoothed unigram log10 probability of the tokens (words with A-Z in lower case, then one end).
     score is the log10 probability of the text by prediction by partial matching, with one white space for each
-    gap: the code length of each word's bytes and what ends it, in contexts of up to `order` bytes that start with the word, and
-    of the end of the text, each blended evenly with the whole word's own share, the longest context of all. Both learn from all training documents. Null texts count as empty: an end alone; repeated rows each get a row; a null doc_id counts as empty
-    text in the fold. With no training document every count is 0.
+    gap: the code length of its bytes and its end in contexts of up to `order` bytes that run over the whole text, words
+    and gaps alike, with escapes by method C and symbol exclusion. Both learn from all training documents, and from
+    every context in them, whatever the input's size.
 
-    Words' counts and code lengths meet the documents' words in a shuffle join; the
-    FREQUENT most frequent words, the same number at any size, are summed where the documents are read.
+    What costs a look-up is a distinct gram (a symbol with its longest context) of a chunk of neighbouring texts, not each place
+    in a text: chunks list their grams, the trie gives each distinct gram's cost, and the costs go back to the chunks, which sum them up.
+    Lists are dealt by shards whose number grows with the bytes of text, so that a task holds a shard or a chunk.
+
+    Null texts count as empty: an end alone. Repeated rows each get a row, equal texts equal scores; a null doc_id counts as
+    empty text in the fold. An empty table gives no rows; with no training document every count is 0 and all bytes cost alike. A very long
+    text is a chunk of its own. Only doc_id and text are read, so further columns of any name don't matter.
     """
-    words = written(word_counts(docs))
-    model = train(words, order)
-    n, v, end_count = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.coalesce(F.max(F.when(F.col("word") == "", F.col("c"))), F.lit(0))).first()
-    often = frequent_words(words).collect()
-    held = [r["word"].encode() for r in often]
-    sc = docs.sparkSession.sparkContext
-    log_n = float(np.log10(n + v + 1))
-    end = (1 if end_count else 0, float(np.log10(end_count + 1)) - log_n, float(blend(model.log10([b""]), np.array([float(end_count)]), n)[0]))
-    costs = blend(model.log10(held), np.array([r["c"] for r in often], float), n)
-    frequent = sc.broadcast({w: (r["c"] and 1, float(np.log10(r["c"] + 1)) - log_n, float(x)) for w, r, x in zip(held, often, costs)})
-    known_model = sc.broadcast(vars(model))  # plain arrays, which need no class to be read
-
-    def parts(batches):
-        """A row for each document, with what its frequent words sum to, and one for each other word of it."""
-        table = frequent.value
-        number = TaskContext.get().partitionId() << 40
-        for b in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
-            uid, word, times, doc, tok, kn, base, own = ([] for _ in range(8))
-            for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
-                number += 1
-                counts = Counter(tokens(text))
-                k, s, m = end
-                for w, c in counts.items():
-                    f = table.get(w)
-                    if f is None:
-                        uid.append(number)
-                        word.append(w)
-                        times.append(c)
-                    else:
-                        k += c * f[0]
-                        s += c * f[1]
-                        m += c * f[2]
-                doc.append((number, doc_id))
-                tok.append(counts.total() + 1)
-                kn.append(k)
-                base.append(s)
-                own.append(m)
-            rest = [None] * len(uid)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([*(d for d, _ in doc), *uid], pa.int64()),
-                    # a key that no word has, so that these rows spread over all tasks
-                    pa.array([*(b"\n%d" % d for d, _ in doc), *word], pa.binary()).cast(pa.string()),
-                    pa.array([*([None] * len(doc)), *times], pa.int64()),
-                    pa.array([*(x for _, x in doc), *rest], pa.int64()),
-                    pa.array([*tok, *rest], pa.int64()),
-                    pa.array([*kn, *rest], pa.int64()),
-                    pa.array([*base, *rest], pa.float64()),
-                    pa.array([*own, *rest], pa.float64()),
-                ],
-                names=["uid", "word", "times", "doc_id", "n_tokens", "n_known", "base", "model"],
-            )
+    texts = placed(docs)
+    size, ends = texts.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.when(F.col("train"), 1))).first()
+    listed = inventory(texts, -(-size // SHARD) | 1, order)
+    known = totals(listed)
+    n, v = known.where(F.col("kind") == WORD).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    n, v = n + ends, v + (ends > 0)
+    values = chunk_values(listed, known, gram_costs(known.where(F.col("kind") == GRAM).select("shard", "gram", "c"), order))
+
+    def run(batches):
+        chunk, grams, words, scorer, held, size = None, [], [], None, [], 0
+
+        def flushed():
+            tokens, known_tokens, base, own = scorer.score([s for _, s in held])
+            return pa.RecordBatch.from_arrays([pa.array([d for d, _ in held], pa.int64()), pa.array(tokens), pa.array(known_tokens), pa.array(base), pa.array(own)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    def cost(batches):
-        trie = Trie(**known_model.value)
         for b in batches:
-            c = b["c"].to_numpy()
-            yield pa.RecordBatch.from_arrays([b["word"], pa.array((c > 0).astype(np.int64)), pa.array(np.log10(c + 1) - log_n), pa.array(blend(trie.log10(b["word"].cast(pa.binary()).to_pylist()), c, n))], names=["word", "known", "base_cost", "model_cost"])
-
-    costed = words.where("word <> ''").mapInArrow(cost, "word string, known long, base_cost double, model_cost double")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(parts, "uid long, word string, times long, doc_id long, n_tokens long, n_known long, base double, model double")
-    joined = rows.join(costed, "word", "left").groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("n_tokens").alias("n_tokens"),
-        (F.sum(F.coalesce("n_known", F.lit(0)) + F.coalesce(F.col("times") * F.col("known"), F.lit(0)))).alias("n_known"),
-        F.sum(F.coalesce("base", F.col("times") * F.col("base_cost"))).alias("base_score"),
-        F.sum(F.coalesce("model", F.col("times") * F.col("model_cost"))).alias("score"),
-    )
-    return joined.select("doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
+            for r in zip(*(b[c].to_pylist() for c in ("chunk", "kind", "keys", "numbers", "doc_id"))):
+                if r[0] != chunk:
+                    if held:
+                        yield flushed()
+                    chunk, grams, words, scorer, held, size = r[0], [], [], None, [], 0
+                if r[1] == TEXT:
+                    if scorer is None:
+                        scorer = Scorer(grams, words, order, n, v, ends)
+                        grams, words = [], []
+                    if held and size + len(r[2]) > SLICE:
+                        yield flushed()
+                        held, size = [], 0
+                    held.append((r[4], r[2]))
+                    size += len(r[2])
+                else:
+                    (grams if r[1] == GRAM else words).append((r[2], r[3]))
+        if held:
+            yield flushed()
+
+    null = lambda kind: F.lit(None).cast(kind)
+    rows = texts.select("chunk", F.lit(TEXT).alias("kind"), F.col("stream").alias("keys"), null("binary").alias("numbers"), "doc_id")
+    both = reduce(DataFrame.unionByName, [rows, values.select("chunk", "kind", "keys", "numbers", null("long").alias("doc_id"))])
+    scored = both.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -95,24 +95,23 @@ def test_label_model_trusts_a_lone_voter_and_discounts_copies():
     assert post[:140].min() > 0.7 and post[140:].max() < 0.3
 
 
-def brute_ppm(words_counts, order):
-    """Plain dictionaries of counts, scored by the textbook recursion without any pruning."""
+def brute_ppm(streams, order):
+    """Plain dictionaries of counts over whole texts, scored by the textbook recursion."""
     counts = {}
-    for w, c in words_counts.items():
-        s = b" " + (w or b"\n") + (b" " if w else b"")
-        for i in range(1, len(s)):
-            for d in range(0, min(order, i) + 1):
-                counts.setdefault((d, s[i - d : i]), Counter())[s[i]] += c
-
-    def log10(w):
-        s = b" " + (w or b"\n") + (b" " if w else b"")
-        total = 0.0
-        for i in range(1, len(s)):
+    for text in streams:
+        s = b"\n" * order + text + b"\n"
+        for i in range(order, len(s)):
+            for d in range(order + 1):
+                counts.setdefault(s[i - d : i], Counter())[s[i]] += 1
+
+    def log10(text):
+        s, total = b"\n" * order + text + b"\n", 0.0
+        for i in range(order, len(s)):
             gone = set()
-            for d in range(min(order, i), -1, -1):
-                seen = {k: v for k, v in counts.get((d, s[i - d : i]), {}).items() if k not in gone}
-                if (d, s[i - d : i]) not in counts:
+            for d in range(order, -1, -1):
+                if s[i - d : i] not in counts:
                     continue
+                seen = {k: v for k, v in counts[s[i - d : i]].items() if k not in gone}
                 whole = sum(seen.values()) + len(seen)
                 if s[i] in seen:
                     total += math.log10(seen[s[i]] / whole)
@@ -121,42 +120,76 @@ def brute_ppm(words_counts, order):
                     total += math.log10(len(seen) / whole)
                 gone |= set(seen)
             else:
-                total -= math.log10(256 - len(gone))
+                total -= math.log10(max(1, 256 - len(gone)))
         return total
 
     return log10
 
 
-def test_trie_against_brute_force(monkeypatch):
-    monkeypatch.setattr(lm, "RARE", 0.0)
-    words = {b"the": 40, b"then": 7, b"thin": 3, b"of": 20, b"offer": 1, "éa".encode(): 2, b"": 9, b"a" * 12: 1}
-    keys, counts = lm.count_contexts(list(words), np.array(list(words.values())), 5)
-    trie = lm.build(keys, counts, np.zeros(0, np.int64), np.zeros(0, np.int64), 5)
-    asked = [*words, b"thenthin", b"zebra", b"o", b"\xc3\xa9", b"aaaa"]
-    want = brute_ppm(words, 5)
-    assert np.allclose(trie.log10(asked), [want(w) for w in asked])
-
-
-def test_lm_scores_against_brute_force(spark, monkeypatch):
-    docs, _ = corpus(120)
-    rows = docs + EDGE
-    monkeypatch.setattr(lm, "FREQUENT", 12)
-    got = lm.score(table(spark, rows)).collect()
-    train = Counter()
+def brute_lm(rows, order):
+    train, streams = Counter(), []
     for i, t in rows:
         if lm.is_training(i):
             train.update([*words_of(t), ""])
-    n, v = sum(train.values()), len(train)
-    want = Counter()
+            streams.append(" ".join(words_of(t)).encode())
+    n, v, ppm, want, known = sum(train.values()), len(train), brute_ppm(streams, order), Counter(), {}
     for i, t in rows:
         w = [*words_of(t), ""]
         base = sum(math.log10((train[x] + 1) / (n + v + 1)) for x in w)
-        want[i, not lm.is_training(i), len(w), sum(train[x] > 0 for x in w), n, round(base, 4)] += 1
-    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
-    assert all(r.score < 0 and math.isfinite(r.score) for r in got)
+        stream = " ".join(w[:-1]).encode()
+        if stream not in known:
+            known[stream] = ppm(stream)
+        want[i, not lm.is_training(i), len(w), sum(train[x] > 0 for x in w), n, round(base, 3), round(known[stream], 3)] += 1
+    return want
+
+
+def listed(got):
+    return Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 3), round(r.score, 3)) for r in got)
+
+
+def test_lm_scores_against_brute_force(spark, monkeypatch):
+    docs, _ = corpus(120)
+    held = next(i for i in range(9000, 9100) if not lm.is_training(i))
+    rows = [*docs, *EDGE[:-1], (held, "Quite OTHER bytes: éß中 77!"), (9002, "word É " * 3000), (None, None)]
+    want = brute_lm(rows, lm.ORDER)
+    assert listed(lm.score(table(spark, rows)).collect()) == want
+    # chunks and shards of every size give the same
+    for name, small in (("CHUNK", 4000), ("SLICE", 1000), ("SHARD", 5000)):
+        monkeypatch.setattr(lm, name, small)
+    assert listed(lm.score(table(spark, rows).repartition(3)).collect()) == want
+    assert listed(lm.score(table(spark, rows), order=2).collect()) == brute_lm(rows, 2)
+
+
+def test_lm_scores_of_nothing_and_of_held_out_texts_alone(spark):
     assert lm.score(table(spark, [])).collect() == []
-    alone = lm.score(table(spark, [(10, "a b")])).collect()
-    assert len(alone) == 1 and math.isfinite(alone[0].score)
+    held = next(i for i in range(100) if not lm.is_training(i))
+    alone = lm.score(table(spark, [(held, "a b")])).first()
+    assert (alone.n_tokens, alone.n_known, alone.train_tokens) == (3, 0, 0) and math.isclose(alone.score, -4 * math.log10(256))
+
+
+def test_lm_reads_across_words_and_tells_copies_apart(spark):
+    rng = random.Random(5)
+    held = [i for i in range(9000) if not lm.is_training(i)]
+    train = [i for i in range(9000) if lm.is_training(i)]
+    pair = {w: rng.sample([a + b for a in ("ka", "lo", "mi", "tu") for b in ("ren", "sol", "pik")], 2) for w in (a + b for a in ("ka", "lo", "mi", "tu") for b in ("ren", "sol", "pik"))}
+
+    def text(n):
+        w = ["karen"]
+        while len(w) < n:
+            w.append(rng.choice(pair[w[-1]]))
+        return w
+
+    asked = [text(60) for _ in range(20)]
+    mixed = [rng.sample(w, len(w)) for w in asked]
+    rare = ["".join(rng.choice("qxyzjvw") for _ in range(120)) for _ in range(2)]
+    rows = [(i, " ".join(text(80))) for i in train[:200]]
+    rows += [(train[300], rare[0]), (train[301], rare[1]), (train[302], rare[1])]
+    rows += [(i, " ".join(w)) for i, w in zip(held, [*asked, *mixed])]
+    got = {r.doc_id: r for r in lm.score(table(spark, rows)).collect()}
+    plain, shuffled = ([got[i] for i in held[a : a + 20]] for a in (0, 20))
+    assert all(p.score > s.score + 1 for p, s in zip(plain, shuffled))
+    assert sum(r.score for r in plain) > sum(r.base_score for r in plain)
+    assert got[train[301]].score > got[train[300]].score + 5 and got[train[301]].score == got[train[302]].score
 
 
 def words_of(text):
