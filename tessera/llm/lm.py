@@ -9,6 +9,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ ORDER = 5
 STOP = b"\n"
 SYMBOLS = 256
 #: Bytes of text whose distinct contexts are listed together, of text that is looked at at once, and of text for each shard.
-CHUNK, SLICE, SHARD = 32 << 20, 8 << 20, 16 << 20
+CHUNK, SLICE, SHARD = 32 << 20, 4 << 20, 16 << 20
 #: What a row of an inventory, of a chunk's values and of texts is about.
 GRAM, WORD, TEXT = 0, 1, 2
 
@@ -51,6 +52,32 @@ def grams_of(streams: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return grams[keep], np.cumsum(size + 1) - (size + 1)
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Eight-byte numbers, their first bytes first, compressed."""
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpacked(data: bytes, kind=np.int64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences."""
+    return packed(np.diff(keys, prepend=np.int64(0)))
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data))
+
+
+def packed_words(words: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(1).compress(b" ".join(words))
+
+
+def unpacked_words(data: bytes) -> list[bytes]:
+    return zstandard.decompress(data).split(b" ")
+
+
 def words_of(streams: list[bytes]) -> tuple[pa.Array, np.ndarray]:
     """(words, words of each stream)."""
     if not streams:
@@ -120,7 +147,7 @@ def inventory(texts: DataFrame, shards: int, order: int) -> DataFrame:
     Grams and words that only held-out texts have come with 0. Lists travel as one value for each chunk and shard.
     """
 
-    def packed(chunk, keys, counts, tables):
+    def lists(chunk, keys, counts, tables):
         gram, n = sums_of(keys, counts)
         shard = gram % shards
         by = np.argsort(shard, kind="stable")
@@ -128,7 +155,7 @@ def inventory(texts: DataFrame, shards: int, order: int) -> DataFrame:
         start = 0
         for e in ends:
             at = by[start:e]
-            yield GRAM, int(shard[at[0]]), chunk, gram[at].tobytes(), n[at].tobytes()
+            yield GRAM, int(shard[at[0]]), chunk, packed_keys(gram[at]), packed(n[at])
             start = e
         words = word_sums(tables)
         own, c = words["w"].to_pylist(), words["c"].to_numpy()
@@ -138,7 +165,7 @@ def inventory(texts: DataFrame, shards: int, order: int) -> DataFrame:
         start = 0
         for e in ends:
             at = by[start:e]
-            yield WORD, int(shard[at[0]]), chunk, b" ".join([own[i] for i in at]), c[at].astype(np.int64).tobytes()
+            yield WORD, int(shard[at[0]]), chunk, packed_words([own[i] for i in at]), packed(c[at].astype(np.int64))
             start = e
 
     def rows(out):
@@ -149,7 +176,7 @@ def inventory(texts: DataFrame, shards: int, order: int) -> DataFrame:
         now, keys, counts, tables = None, [], [], []
         for chunk, part in slices(batches):
             if chunk != now and now is not None:
-                yield rows(packed(now, keys, counts, tables))
+                yield rows(lists(now, keys, counts, tables))
                 keys, counts, tables = [], [], []
             now = chunk
             for train in (True, False):
@@ -159,11 +186,11 @@ def inventory(texts: DataFrame, shards: int, order: int) -> DataFrame:
                 counts.append(n * train)
                 words = words_of(own)[0].value_counts()
                 tables.append(pa.table({"w": words.field("values"), "c": pa.array(words.field("counts").to_numpy() * train, pa.int64())}))
-            if len(keys) > 8:  # one list for each kind while the chunk goes on
+            if len(keys) > 16:  # one list for each kind while the chunk goes on
                 k, c = sums_of(keys, counts)
                 keys, counts, tables = [k], [c], [word_sums(tables)]
         if now is not None:
-            yield rows(packed(now, keys, counts, tables))
+            yield rows(lists(now, keys, counts, tables))
 
     return written(texts.select("chunk", "train", "stream").mapInArrow(run, "kind int, shard long, chunk long, keys binary, counts binary"))
 
@@ -188,12 +215,12 @@ def totals(listed: DataFrame) -> DataFrame:
 
     def run(batches):
         for (kind, shard), rows in by_shard(batches, ["kind", "shard"]):
-            counts = [np.frombuffer(r["counts"], np.int64) for r in rows]
+            counts = [unpacked(r["counts"]) for r in rows]
             if kind == GRAM:
-                k, c = sums_of([np.frombuffer(r["keys"], np.int64) for r in rows], counts)
+                k, c = sums_of([unpacked_keys(r["keys"]) for r in rows], counts)
                 gram, word = pa.array(k), pa.nulls(len(k), pa.binary())
             else:
-                t = word_sums([pa.table({"w": pa.array(r["keys"].split(b" "), pa.binary()), "c": c}) for r, c in zip(rows, counts)])
+                t = word_sums([pa.table({"w": pa.array(unpacked_words(r["keys"]), pa.binary()), "c": c}) for r, c in zip(rows, counts)])
                 word, c = t["w"].combine_chunks(), t["c"].to_numpy()
                 gram = pa.nulls(len(c), pa.int64())
             n = len(c)
@@ -281,9 +308,9 @@ def chunk_values(listed: DataFrame, known: DataFrame, costs: DataFrame) -> DataF
                         gram, value = np.array(gram, np.int64), np.array(value, float)
                         order = np.argsort(gram)
                         gram, value = gram[order], value[order]
-                    out.append((GRAM, r["chunk"], r["keys"], value[np.searchsorted(gram, np.frombuffer(r["keys"], np.int64))].tobytes()))
+                    out.append((GRAM, r["chunk"], r["keys"], packed(value[np.searchsorted(gram, unpacked_keys(r["keys"]))])))
                 else:
-                    out.append((WORD, r["chunk"], r["keys"], np.array([words[w] for w in r["keys"].split(b" ")], np.int64).tobytes()))
+                    out.append((WORD, r["chunk"], r["keys"], packed(np.array([words[w] for w in unpacked_words(r["keys"])], np.int64))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k.type) for x, k in zip(zip(*out), kinds)], schema=kinds)
 
@@ -299,12 +326,12 @@ class Scorer:
     """Scores streams by the costs of a chunk's grams and the counts of its words."""
 
     def __init__(self, grams: list, words: list, order: int, n: int, v: int, ends: int):
-        key = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(k, np.int64) for k, _ in grams)])
-        cost = np.concatenate([np.zeros(0), *(np.frombuffer(c, float) for _, c in grams)])
+        key = np.concatenate([np.zeros(0, np.int64), *(unpacked_keys(k) for k, _ in grams)])
+        cost = np.concatenate([np.zeros(0), *(unpacked(c, float) for _, c in grams)])
         by = np.argsort(key, kind="stable")
         self.key, self.cost, self.order = key[by], cost[by], order
-        self.words = pa.array([w for k, _ in words for w in k.split(b" ")], pa.binary())
-        self.counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(c, np.int64) for _, c in words)])
+        self.words = pa.array([w for k, _ in words for w in unpacked_words(k)], pa.binary())
+        self.counts = np.concatenate([np.zeros(0, np.int64), *(unpacked(c) for _, c in words)])
         self.least, self.ends = np.log10(n + v + 1), ends
 
     def score(self, streams: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
