@@ -16,6 +16,10 @@ SEED = "mix"
 BLOCK_WORDS = 4096
 #: Slots that one task draws at once.
 DRAW = 100_000
+#: Hexadecimal digits of a digest that name a part of a source's stream.
+PART_DIGITS = 4
+#: Slots are numbers of so many bits; words of a partition of the mixed texts.
+SLOT_BITS, PARTITION_WORDS = 62, 1 << 23
 
 
 def word_count(text: Column) -> Column:
@@ -95,23 +99,26 @@ def schedule(plan: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 def pieces(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple = WEIGHTS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """What the mix takes: a row for each stretch of a document in a block of the schedule.
 
-    Columns: doc_id, source, place (part and row, which tell repeated rows apart), size, source_size, target,
-    slot (order of the mix), start (the stretch's first word in the document) and length. Documents that give nothing have
-    one row of null slot and length 0.
+    Columns: doc_id, source, place (part and row, which tell repeated rows apart), size, source_size, target, round (which time
+    through the stream), slot (order of the mix), at (the stretch's first word in the source's repeated stream), start (its first word in the document) and
+    length. What no slot was drawn for is not taken: documents that give nothing have one row of null slot and length 0. Where docs has a
+    column uid, it is kept.
 
     A source's documents are shuffled by a digest of their ids and stand in one stream of words,
     which is read from its start again when it ends. The stream is cut into blocks of `block_words`
-    words up to the source's target, rounded; the last block is shorter.
+    words up to the source's target, rounded; the last block is shorter. Blocks join the slots that the schedule draws for their source.
     Null texts and texts without words have size 0; a null source is a source; equal
-    ids keep a row each. An empty table gives no rows.
+    ids, null ones too, keep a row each. An empty table gives no rows. Only doc_id, text, source and uid are read, so further columns of any
+    name don't matter.
     """
+    own = [c for c in ("uid",) if c in docs.columns]
     digest = F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = written(docs.select("doc_id", "source", source_key(F.col("source")).alias("key"), word_count(F.col("text")).alias("size"), digest.alias("digest")))
-    sized = sized.withColumn("part", F.conv(F.substring("digest", 1, 2), 16, 10).cast("int"))
+    sized = written(docs.select(*own, "doc_id", "source", source_key(F.col("source")).alias("key"), word_count(F.col("text")).alias("size"), digest.alias("digest")))
+    sized = sized.withColumn("part", F.conv(F.substring("digest", 1, PART_DIGITS), 16, 10).cast("int"))
     sizes = sized.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
     plan = targets(sizes, share, cap, weights).withColumn("quota", F.floor(F.col("target") + 0.5).cast("long"))
     slots = schedule(plan.select("key", "quota"), block_words)
-    placed = running(sized, "key", "part", ["digest", "doc_id", "size"], F.col("size"), "at").join(plan, "key")
+    placed = running(sized, "key", "part", ["digest", "doc_id", "size", *own], F.col("size"), "at").join(plan, "key")
     # the document's words in each round through the stream, as far as the quota goes
     rounds = placed.withColumn("round", F.explode(F.expr(f"sequence(0, {int(cap) - (int(cap) == cap)})")))
     lo = F.col("at") + F.col("round") * F.col("source_size")
@@ -119,38 +126,41 @@ def pieces(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple
     blocks = F.when(F.col("lo") < F.col("hi"), F.expr(f"sequence(lo div {block_words}, (hi - 1) div {block_words})"))
     rounds = rounds.where((F.col("round") == 0) | (F.col("lo") < F.col("hi"))).withColumn("block", F.explode_outer(blocks))
     start, end = F.greatest(F.col("lo"), F.col("block") * block_words), F.least(F.col("hi"), (F.col("block") + 1) * block_words)
-    cut = rounds.withColumn("start", start - F.col("lo")).withColumn("length", F.when(F.col("block").isNull(), F.lit(0)).otherwise(end - start))
-    return cut.join(slots, ["key", "block"], "left").select(
-        "doc_id", "source", F.struct("part", "_row").alias("place"), "size", "source_size", "target", "slot", "start", "length"
-    )
+    cut = rounds.withColumn("from", start).withColumn("upto", end).join(slots, ["key", "block"], "left")
+    return cut.select(
+        *own, "doc_id", "source", F.struct("part", "_row").alias("place"), "size", "source_size", "target", "round", "slot",
+        F.col("from").alias("at"), (F.col("from") - F.col("lo")).alias("start"), F.when(F.col("slot").isNull(), F.lit(0)).otherwise(F.col("upto") - F.col("from")).alias("length"),
+    )
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words the mix takes, repeats counted) of every row."""
+    """doc_id, size, source_size, target and taken (words in the blocks of drawn slots, repeats counted) of every row; see `pieces`."""
     by = ["doc_id", "source", "place", "size", "source_size", "target"]
     return pieces(docs, **options).groupBy(*by).agg(F.sum("length").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """docs repeated and cut as the mix takes them, with the columns of docs; ids must be distinct.
+    """docs repeated and cut as the mix takes them, in order of the schedule, with the columns of docs.
 
-    A document taken more than once has a row for each whole time; the rest of what is taken is a row of
-    its first words. n_chars follows the text.
+    A document taken more than once has a row for each time; where the source's target ends within it, the row holds its first
+    words, and n_chars follows the text. Each row stands at the slot of its first block. Rows are told apart by a number of their
+    own: repeated rows, and those of null or repeated ids, are taken each for itself. Columns of docs may have any names.
     """
-    dose = taken(docs.select("doc_id", "text", "source"), **options).where("taken > 0")
-    whole, rest = F.expr("taken div size"), F.expr("taken % size")
-    dose = dose.select(F.col("doc_id").alias("_mix_id"), whole.alias("_mix_whole"), rest.alias("_mix_rest"))
-    both = docs.join(dose, docs.doc_id.eqNullSafe(F.col("_mix_id")))
-    times = F.sequence(F.lit(1).cast("long"), F.col("_mix_whole") + F.when(F.col("_mix_rest") > 0, 1).otherwise(0))
-    text = F.when(F.col("_mix_time") <= F.col("_mix_whole"), F.col("text")).otherwise(_first_words(F.col("_mix_rest")))
-    out = both.withColumn("_mix_time", F.explode(times)).withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
-
-
-def _first_words(n: Column) -> Column:
-    return F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), n.cast("int")), "")
+    base = written(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("uid")))
+    own = pieces(base.select("uid", *(F.col(f"row.{c}").alias(c) for c in ("doc_id", "text", "source"))), **options).where("length > 0")
+    dose = own.groupBy("uid", "round", "size").agg(F.sum("length").alias("words"), F.min_by("slot", "start").alias("slot"), F.min("at").alias("at"))
+    dose = written(dose)
+    parts = max(1, -(-(dose.agg(F.sum("words")).first()[0] or 0) // PARTITION_WORDS))
+    place = F.shiftright(F.shiftright("slot", SLOT_BITS - 24) * F.lit(parts).cast("long"), 24).cast("int")
+    out = base.join(dose, "uid").repartitionById(parts, place).sortWithinPartitions("slot", "at", "uid")
+    text = F.when(F.col("words") == F.col("size"), F.col("row.text")).otherwise(_first_words(F.col("row.text"), F.col("words")))
+    out = out.select("row", text.alias("text"))
+    value = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*(value.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+
+
+def _first_words(text: Column, n: Column) -> Column:
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), n.cast("int")), "")
 
 
 ORACLE = r"""

@@ -151,17 +151,51 @@ def test_any_stretch_of_the_schedule_is_mixed(spark):
         assert [r.block for r in got if r.key == k] == list(range(len([r for r in got if r.key == k])))
 
 
+def n_words(text):
+    return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+
+
 def test_mixed_texts_hold_what_is_taken(spark):
-    data = [x for x in rows() if x[0] is not None and x[0] != 805]
-    df = frame(spark, data)
-    dose = {r.doc_id: r.taken for r in mixing.taken(df).collect()}
+    data = [*rows(), (None, "of no id at all", "s1"), (None, "of no id at all", "s1"), (None, "another of none", "s2"), (910, "one two three", "s3"), (910, "one two three", "s3"), (910, "other text", "s3")]
+    df = frame(spark, data).selectExpr("*", "7 AS uid", "'x' AS row", "'y' AS slot", "1 AS words")
+    dose, words = Counter(), Counter()
+    for r in mixing.taken(df).collect():
+        dose[r.doc_id] += r.taken
     out = mixing.mixed(df)
     assert out.columns == df.columns
-    words = Counter()
+    texts = {}
+    for i, t, _ in data:
+        texts.setdefault(i, []).append(t or "")
     for r in out.collect():
-        assert r.n_chars == len(r.text) and next(t for i, t, _ in data if i == r.doc_id).startswith(r.text)
-        words[r.doc_id] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
-    assert {k: v for k, v in dose.items() if v} == dict(words)
+        assert r.n_chars == len(r.text) and any(t.startswith(r.text) for t in texts[r.doc_id]) and (r.uid, r.row, r.slot) == (7, "x", "y")
+        words[r.doc_id] += n_words(r.text)
+    assert +dose == words and mixing.mixed(frame(spark, [])).collect() == []
+
+
+def test_the_mix_comes_in_the_order_of_the_schedule(spark, monkeypatch):
+    data = [(i, f"w{i} " * 40, "a" if i % 3 else "b") for i in range(600)]
+    df = frame(spark, data)
+    monkeypatch.setattr(mixing, "PARTITION_WORDS", 5000)
+    out = [(r.source, n_words(r.text)) for r in mixing.mixed(df, block_words=160).collect()]
+    goal = Counter()
+    for s, n in out:
+        goal[s] += n
+    part = Counter()
+    for at, (s, n) in enumerate(out):
+        part[s] += n
+        if at % 100 == 99:
+            so_far = sum(part.values())
+            assert all(abs(part[x] - so_far * goal[x] / sum(goal.values())) < 3 * 160 for x in goal)
+
+
+def test_without_slots_nothing_is_taken(spark, monkeypatch):
+    df, drawn = frame(spark, rows()), mixing.schedule
+    monkeypatch.setattr(mixing, "schedule", lambda *a, **k: drawn(*a, **k).where("block % 2 = 0"))
+    half = mixing.taken(df, block_words=64).collect()
+    monkeypatch.setattr(mixing, "schedule", lambda *a, **k: drawn(*a, **k).where("false"))
+    none = mixing.taken(df, block_words=64).collect()
+    assert len(none) == len(half) == len(rows()) and 0 < sum(r.taken for r in half) and sum(r.taken for r in none) == 0
+    assert mixing.mixed(df, block_words=64).collect() == []
 
 
 def pages():
