@@ -89,16 +89,43 @@ def test_packing_is_exact(spark):
 
 
 def test_windows_keep_to_the_proportions():
-    lengths = [100] * 300
-    queues = {"a": list(range(200)), "b": list(range(200, 280)), None: list(range(280, 300))}
-    share = {"a": 2 / 3, "b": 80 / 300, None: 20 / 300}
-    made = list(packing.deal(queues, lengths, share, {}, 0, 250))
-    for upto in range(50, len(made), 50):
-        given = Counter()
-        for row, _, n, _ in made[:upto]:
-            given["a" if row < 200 else "b" if row < 280 else None] += n
-        total = sum(given.values())
-        assert all(abs(given[s] - p * total) <= 200 for s, p in share.items())
+    sizes = np.array([5003, 2001, 997, 13, 1])
+    gives = packing.deal(sizes, sizes / sizes.sum(), np.zeros(5), 250)
+    assert (gives.sum(0) == sizes).all() and (gives.sum(1)[:-1] == 250).all() and (gives >= 0).all()
+    assert (np.abs(gives[:-1] - 250 * sizes / sizes.sum()) < 3).all()
+    assert (np.abs(np.cumsum(gives, 0)[:-1] - np.arange(1, len(gives))[:, None] * 250 * sizes / sizes.sum()) < 3).all()  # deficits don't pile up
+    even = packing.deal(np.array([1000, 300]), np.array([0.5, 0.5]), np.zeros(2), 100)
+    assert even[:6].tolist() == [[50, 50]] * 6 and even[6:].tolist() == [[100, 0]] * 7
+
+
+def test_queues_come_forward_together():
+    for size, weight in (([5000, 70, 3, 1], None), ([500, 400, 9], [1.0, 5.0, 0.0])):
+        own = packing.Queues(np.array(size), np.array(weight or size, float))
+        seen = np.array([own.at(t)[0] for t in range(0, sum(size) + 1, 7)] + [own.at(sum(size))[0]])
+        assert (seen.sum(1)[:-1] == np.arange(0, sum(size) + 1, 7)).all() and (seen[-1] == size).all() and (np.diff(seen, axis=0) >= 0).all()
+        for s, n in enumerate(size):
+            for place in range(0, n, 13):
+                at = own.span_of(s, place, 64)
+                assert own.at(at * 64)[0][s] <= place < own.at((at + 1) * 64)[0][s]
+
+
+def test_packed_windows_hold_the_target_shares_over_partitions(spark):
+    rng = random.Random(2)
+    data = [(i, "word " * rng.choice([5, 50, 900]), rng.choice("aaaabbc")) for i in range(400)]
+    got = packing.pack(frame(spark, data).repartition(5), TOKENIZER, window=256, span=4).collect()
+    total, held = Counter(), {}
+    for r in got:
+        total[r.source] += r.length
+        held.setdefault(r.sequence_id, Counter())[r.source] += r.length
+    last = max(held)
+    assert len(held) > 100 and sum(total.values()) == sum(r.length for r in got)
+    for w, own in held.items():
+        assert w == last or all(abs(own[s] - 256 * n / sum(total.values())) <= 3 for s, n in total.items())
+    weighed = packing.pack(frame(spark, data).repartition(3), TOKENIZER, window=256, weights={"a": 1, "b": 1, "c": 1}, span=4)
+    first = Counter()
+    for r in weighed.where("sequence_id < 20").collect():
+        first[r.source] += r.length
+    assert all(abs(n - 20 * 256 / 3) <= 3 for n in first.values()) and len(first) == 3
 
 
 def brute_targets(sizes, share=1.5, cap=2.0):
