@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Partitions of a sample that had to be cut: the tasks that read its texts.
+SAMPLE_PARTS = 32
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,10 +54,10 @@ def remainder(column, modulus: int):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, bound: int) -> DataFrame:
-    """(doc_id, text, y) of at most `bound` documents whose label may be learnt from.
+    """(doc_id, text, y) of at most `bound` rows whose label may be learnt from.
 
-    The ids are those with the smallest hash; documents with several labels count by
-    the largest, and of repeated documents each row stands.
+    The ids are those with the smallest hash; documents with several labels count by the largest. Of
+    repeated ids each row stands, as long as there are not more than `bound`; then those of the smallest hash do.
     """
     ids = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
@@ -62,4 +66,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     )
     # at most `bound` pairs of an id and a label, so the broadcast has a fixed limit
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    rows = written(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"))
+    if rows.count() <= bound:
+        return rows
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(bound).repartition(SAMPLE_PARTS)

@@ -87,12 +87,57 @@ def test_trees_are_flat_and_agree_with_a_walk():
 def test_label_model_trusts_a_lone_voter_and_discounts_copies():
     fires = np.zeros((400, 4))
     fires[:100, 0] = 1
-    fires[:100, 1] = fires[:100, 2] = 0
     fires[100:140, 1] = fires[100:140, 2] = 1  # two voters that always agree
     fires[140:180, 3] = 1
-    first = np.r_[np.full(140, 0.95), np.full(260, 0.03)]
-    post = toxicity.label_model(fires, first)
-    assert post[:140].min() > 0.7 and post[140:].max() < 0.3
+    post = toxicity.label_model(fires, np.array([0.8, 0.8, 0.8, 0.8]))
+    assert post[:180].min() > 0.7 and post[180:].max() < 0.3
+    fires[180:200, 3] = fires[180:200, 0] = 1  # these two agree, so they are believed alone; a voter that nothing speaks for isn't
+    fires = np.column_stack([fires, np.arange(400) >= 390])
+    post = toxicity.label_model(fires, np.full(5, 0.3))
+    assert post[:200].min() > 0.7 and post[200:].max() < 0.5
+
+
+def brute_label_model(fires, trust, rounds):
+    """The same expectation maximisation, cell by cell."""
+    n, m = fires.shape
+    post = [0.02 if not any(row) else 0.9 if sum(row) > 1 else sum(row * trust) for row in fires]
+    for _ in range(rounds):
+        prior = min(max(sum(post) / n, 1e-3), 1 - 1e-3)
+        weight = [[1 - p for p in post], post]
+        rate = [[(sum(w[i] * fires[i, j] for i in range(n)) + 0.1) / (sum(w) + 0.2) for w in weight] for j in range(m)]
+        quiet = [(sum(w[i] for i in range(n) if not any(fires[i])) + 0.1) / (sum(w) + 0.2) for w in weight]
+        left = [[fires[i, j] - weight[0][i] * rate[j][0] - weight[1][i] * rate[j][1] for j in range(m)] for i in range(n)]
+        scale = [math.sqrt(sum(left[i][j] ** 2 for i in range(n)) / n) + 1e-6 for j in range(m)]
+        pair = [[0.0 if j == k else sum(left[i][j] * left[i][k] for i in range(n)) / n / scale[j] / scale[k] for k in range(m)] for j in range(m)]
+        new = []
+        for i in range(n):
+            odds = math.log(prior / (1 - prior)) + (0 if any(fires[i]) else math.log(quiet[1] / quiet[0]))
+            for j in np.flatnonzero(fires[i]):
+                odds += math.log(rate[j][1] / rate[j][0]) / (1 + sum(pair[k][j] for k in np.flatnonzero(fires[i]) if pair[k][j] > 0.3))
+            new.append(1 / (1 + math.exp(-odds)))
+        post = new
+    return post
+
+
+def test_label_model_against_brute_force():
+    rng = np.random.default_rng(4)
+    truth = rng.random(150) < 0.3
+    fires = (rng.random((150, 6)) < np.where(truth[:, None], [0.6, 0.5, 0.4, 0.3, 0.3, 0.2], [0.02, 0.1, 0.01, 0.05, 0.02, 0.0])).astype(float)
+    fires[:, 5] = fires[:, 0] * (rng.random(150) < 0.9)
+    trust = np.array([0.8, 0.8, 0.3, 0.3, 0.8, 0.3])
+    post = toxicity.label_model(fires, trust, rounds=5)
+    assert np.allclose(post, brute_label_model(fires, trust, 5))
+    assert post[fires[:, :5].sum(1) > 1].min() > 0.9 and post[~fires.any(1)].max() < 0.3
+
+
+def test_a_sample_is_bounded_in_rows(spark):
+    docs = table(spark, [(4, f"text {i}") for i in range(300)] + [(i, "x") for i in range(10, 60)])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(100)], "doc_id long, quality int, toxic int")
+    from tessera.llm.common import labelled_sample
+
+    for bound in (2, 50, 1000):
+        got, again = (Counter(labelled_sample(d, labels, "toxic", 3, 1, bound).collect()) for d in (docs, docs.repartition(3)))
+        assert got.total() <= bound and got == again and (bound < 50 or got)
 
 
 def brute_ppm(streams, order):
