@@ -347,35 +347,40 @@ def _sketches(k: int):
             seen = [sketch(t, k) for t in b["text"].to_pylist()]
             x = np.array([w for w, _ in seen], np.uint64).reshape(b.num_rows, 6).view(np.int64)
             keys = pa.array([q.view(np.int64) for _, q in seen], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(6)), keys], names=["doc_id", *CLASS, *SKETCH, "keys"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["digest"], *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(6)), keys], names=["doc_id", "digest", *CLASS, *SKETCH, "keys"])
 
     return run
 
 
-def jaccard_udf(k: int):
+def jaccard_udf(k: int, held: int = 64):
+    """Jaccard similarity of the k-shingle sets of two texts; the sets of the last `held` texts are kept as arrays."""
+
     @F.arrow_udf("double")
     def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
-        known: dict[str, set] = {}
+        known: dict[str, np.ndarray] = {}
 
-        def of(text: str) -> set:
-            if text not in known:
-                if len(known) > 200:
-                    known.clear()
-                known[text] = {xxhash.xxh64_intdigest(s, SEED) for s in shingles(text.encode().lower().split(), k)}
-            return known[text]
+        def of(text: str) -> np.ndarray:
+            own = known.get(text)
+            if own is None:
+                if len(known) >= held:
+                    del known[next(iter(known))]
+                words = text.encode().lower().split()
+                own = known[text] = shingle_set(words, k) if words else np.zeros(0, np.uint64)
+            return own
 
         out = []
-        for x, y in zip(a.to_pylist(), b.to_pylist()):
-            u, v = of(x or ""), of(y or "")
-            both = len(u & v)
-            out.append(both / (len(u) + len(v) - both) if u or v else 1.0)
+        for x, y in zip(a, b):
+            u, v = of(x.as_py() or ""), of(y.as_py() or "")
+            both = len(np.intersect1d(u, v, assume_unique=True))
+            out.append(both / (len(u) + len(v) - both) if len(u) or len(v) else 1.0)
         return pa.array(out, pa.float64())
 
     return jaccard
 
 
-def similar_components(docs: DataFrame, k: int = 5, least: float = 0.8, sketch_limit: int = 54, bucket_rows: int = 4096) -> DataFrame:
-    """(doc_id, component_id) of every row, linking texts whose k-word shingles have a Jaccard similarity of `least` or more.
+def similar_groups(docs: DataFrame, k: int = 5, least: float = 0.8, sketch_limit: int = 54, bucket_rows: int = 4096) -> DataFrame:
+    """(doc_id, digest, root) of every row: a number for each group of texts that links of a Jaccard similarity of `least` or more of their
+    k-word shingles connect. digest: a hash of the text, which tells rows of one id apart.
 
     Candidates meet in buckets of equal bands of minimal hashes of the shingle sets. How likely two texts meet depends on their
     similarity alone, not on where they differ nor on the number of rows. The sketches of texts of a similarity of 0.8
@@ -384,11 +389,16 @@ def similar_components(docs: DataFrame, k: int = 5, least: float = 0.8, sketch_l
     component, four times as many in each round and from MOST on all at once, until no candidate is left out. So a group of copies gives pairs
     in proportion to its rows, and every candidate pair is verified or lies in one component. Texts of equal shingle sets are one class.
     """
-    prints = written(docs.select("doc_id", "text").mapInArrow(_sketches(k), "doc_id long, h0 long, h1 long, s0 long, s1 long, s2 long, s3 long, keys array<bigint>"))
-    classes = written(prints.groupBy(*CLASS).agg(F.min("doc_id").alias("least"), *(F.min(c).alias(c) for c in SKETCH), F.min("keys").alias("keys")).withColumn("cid", F.monotonically_increasing_id()))
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    prints = written(docs.select("doc_id", digest.alias("digest"), "text").mapInArrow(_sketches(k), "doc_id long, digest long, h0 long, h1 long, s0 long, s1 long, s2 long, s3 long, keys array<bigint>"))
+    classes = written(prints.groupBy(*CLASS).agg(F.min(F.struct("doc_id", "digest")).alias("least"), *(F.min(c).alias(c) for c in SKETCH), F.min("keys").alias("keys")).withColumn("cid", F.monotonically_increasing_id()))
     keyed = classes.select("cid", F.explode("keys").alias("bits"))
     shared = keyed.groupBy("bits").count().where("count > 1").select("bits")
     live = written(keyed.join(shared, "bits").join(classes.select("cid", *SKETCH), "cid"))
+    # texts of the classes that meet others, once for all rounds
+    named = classes.join(live.select("cid").distinct(), "cid").select("cid", F.coalesce("least.doc_id", F.lit(0)).alias("_id"), F.col("least.doc_id").isNull().alias("_none"), F.col("least.digest").alias("_digest"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), digest.alias("_digest"), "text")
+    live_texts = written(rows.join(named, ["_id", "_none", "_digest"]).groupBy("cid").agg(F.first("text").alias("text")))
     roots = seen = None
     most, left = 1, True
     while left:
@@ -404,7 +414,7 @@ def similar_components(docs: DataFrame, k: int = 5, least: float = 0.8, sketch_l
         if seen is not None:
             pairs = written(pairs.join(seen, ["a", "b"], "left_anti"))
         ends = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-        texts = docs.select("doc_id", "text").join(classes.join(ends, "cid").select("cid", F.col("least").alias("doc_id")), "doc_id").select("cid", "text")
+        texts = live_texts.join(ends, "cid")
         x, y = (texts.select(F.col("cid").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
         edges = pairs.join(x, "a").join(y, "b")
         edges = edges.where(jaccard_udf(k)("text_a", "text_b") >= least).select("a", "b")
@@ -413,21 +423,37 @@ def similar_components(docs: DataFrame, k: int = 5, least: float = 0.8, sketch_l
         else:
             roots, seen = connected_components(edges.unionByName(roots.toDF("a", "b"))), seen.unionByName(pairs)
         most = most * 4 if most and most < MOST else None
-    at = classes.join(roots, classes.cid == roots.node, "left").withColumn("root", F.coalesce("root", "cid"))
-    named = at.join(at.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(*CLASS, "component_id")
-    return prints.join(named, CLASS).select("doc_id", "component_id")
+    named = classes.join(roots, classes.cid == roots.node, "left").select(*CLASS, F.coalesce("root", "cid").alias("root"))
+    return prints.join(named, CLASS).select("doc_id", "digest", "root")
+
+
+def similar_components(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, component_id) of every row by `similar_groups`; component_id is the group's smallest id, null if it has none."""
+    rows = written(similar_groups(docs, **options))
+    return rows.join(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
 
 
 def without_copies(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each component of `similar_components`: that of the smallest id.
+    """docs with one row of each group of `similar_groups`, and all its columns: the one of the smallest id, null ids last.
 
-    Of rows that repeat an id one stays. Rows of null id have no name to be dropped by, and stay.
+    Rows of one id with texts of different groups stay each; of rows alike in id and text one stays. Texts without words are alike, so one
+    of them stays. A group's choice is an aggregate with partial sums, and rows are dropped by a join with those that are not
+    chosen, so that a group may hold most rows.
     """
-    named = written(similar_components(docs, **options))
-    dropped = named.where("doc_id <> component_id").select("doc_id").distinct()
-    again = checkpointed(named.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    kept = docs.join(dropped, "doc_id", "left_anti")
+    rows = written(similar_groups(docs, **options))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    # a group with one distinct row needs no choice
+    groups = rows.groupBy("root").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("rows")).where("rows > 1")
+    groups = written(groups)
+    key = ["_id", "_none", "_digest"]
+    named = rows.select("root", F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("digest").alias("_digest"))
+    kept = groups.select("root", F.coalesce("first.doc_id", F.lit(0)).alias("_id"), F.col("first.none").alias("_none"), F.col("first.digest").alias("_digest"))
+    split = groups.where("first <> last").select("root")
+    dropped = written(named.join(split, "root", "left_semi").join(kept, ["root", *key], "left_anti").select(*key).distinct())
+    again = written(named.join(kept, ["root", *key], "left_semi").groupBy(*key).count().where("count > 1").select(*key))
+    row = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_digest"))
+    row = row.join(dropped, key, "left_anti")
     if not again.isEmpty():
-        once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(once)
-    return kept.select(*docs.columns)
+        once = row.join(again, key, "left_semi").groupBy(*key).agg(F.first("row").alias("row"))
+        row = row.join(again, key, "left_anti").select("row").unionByName(once.select("row"))
+    return row.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -277,12 +277,14 @@ def test_one_of_each_group_of_copies_stays(spark):
         groups.append(ids)
     shared = " ".join(rng.choice(words) for _ in range(60))
     clean = [(500 + i, shared + " " + " ".join(rng.choice(words) for _ in range(240)), "b") for i in range(8)]
-    df = frame(spark, [*data, *clean, (900, None, "a"), (901, "", "a"), (902, "same", "a"), (902, "same", "a"), (None, "same", "a")])
+    df = frame(spark, [*data, *clean, (900, None, "a"), (901, "", "a"), (902, "same", "a"), (902, "same", "a"), (None, "same", "a"), (None, "only without an id", "a"), (None, "only without an id", "a"), (903, "Same", "a"), (903, "unique text of a repeated id", "a")])
     out = simhash.without_copies(df)
     kept = Counter(r.doc_id for r in out.collect())
     assert out.columns == df.columns
     assert all(kept[ids[0]] == 1 and sum(kept[i] for i in ids) == 1 for ids in groups)
-    assert all(kept[i] == 1 for i, *_ in clean) and kept[900] == 1 and kept[901] == 0 and kept[902] == 1 and kept[None] == 1
+    assert all(kept[i] == 1 for i, *_ in clean) and kept[900] == 1 and kept[901] == 0 and kept[902] == 1 and kept[None] == 1 and kept[903] == 1
+    assert Counter(r.text for r in out.collect() if r.doc_id in (None, 903)) == {"only without an id": 1, "unique text of a repeated id": 1}
+    assert simhash.without_copies(frame(spark, [])).collect() == [] and simhash.without_copies(frame(spark, [(1, "alone " * 50_000, "a")])).count() == 1
 
 
 def test_pipeline_stages(spark, tmp_path):
