@@ -196,15 +196,16 @@ def label_model(fires: np.ndarray, trust: np.ndarray, rounds: int = 30) -> np.nd
     of firing in each class, P(fire | toxic) and P(fire | clean), and a firing voter's evidence is the logarithm of their ratio; a voter that
     abstains says nothing, but that all of them do is an outcome with rates of its own. Voters that fire together within a class more
     than chance has it don't count in full: a voter's evidence in a row is divided by one and its residual correlations
-    with the others that fire there. A voter that others agree with comes to be believed when it fires alone; one that always
-    fires alone keeps the trust it started with.
+    with the others that fire there. For a voter's rates a row where it fires alone counts with its trust, as no other voter speaks there: so a
+    voter that others agree with comes to be believed alone, and none is by its own word.
     """
-    some = fires.any(1)
-    post = np.where(fires.sum(1) > 1, AGREED, np.where(some, fires @ trust, QUIET))
+    some, lone, alone = fires.any(1), fires.sum(1) == 1, fires @ trust
+    post = np.where(fires.sum(1) > 1, AGREED, np.where(some, alone, QUIET))
     for _ in range(rounds):
         prior = np.clip(post.mean(), 1e-3, 1 - 1e-3)
         n = np.array([(1 - post).sum(), post.sum()])
-        rate = (np.column_stack([fires.T @ (1 - post), fires.T @ post]) + 0.1) / (n + 0.2)
+        heard = np.where(lone, alone, post)
+        rate = (np.column_stack([fires.T @ (1 - heard), fires.T @ heard]) + 0.1) / (n + 0.2)
         quiet = (np.array([(1 - post)[~some].sum(), post[~some].sum()]) + 0.1) / (n + 0.2)
         left = fires - np.column_stack([1 - post, post]) @ rate.T
         scale = np.sqrt((left**2).mean(0)) + 1e-6
@@ -267,11 +268,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     fires = np.zeros((len(seen), voters.n))
     for row, fired in zip(fires, seen):
         row[fired] = 1
-    # made-up rows, which the label model judges like others: none fires, and each voter of the sample alone; where none fires there, all voters
+    # made-up rows, which the label model judges like others: none fires, and each voter of the sample alone; where none fires there, every
+    # voter alone and with another
     alone = np.flatnonzero(fires.any(0) if fires.any() else np.ones(voters.n, bool))
     fires = np.vstack([fires, np.zeros((1 if len(alone) < voters.n else 60 * voters.n, voters.n)), *[np.eye(voters.n)[alone]] * 3])
     if not len(seen) or not fires[: len(seen)].any():
-        fires = np.vstack([fires, *[1 - np.eye(voters.n)] * 3])
+        fires = np.vstack([fires, *[np.eye(voters.n) + np.roll(np.eye(voters.n), 1, 1)] * 3])
     trust = np.where(np.arange(voters.n) < len(stems), PROPOSED, FIXED)
     return Model(stems, logistic(features(fires), label_model(fires, trust)))
 
