@@ -60,14 +60,15 @@ class Index:
         return self.spark.read.parquet(f"{self.path}/points")
 
     def meta(self):
-        return self.spark.read.json(f"{self.path}/meta").first()
+        return self.spark.read.json(f"{self.path}/meta").orderBy(F.desc("seq")).first()
 
-    def _put(self, active: str, slots: list[str]) -> None:
-        rows = self.spark.createDataFrame([(active, sorted(set(slots)))], "active string, slots array<string>")
-        rows.coalesce(1).write.mode("overwrite").json(f"{self.path}/meta")
+    def _put(self, active: str, slots: list[str], seq: int) -> None:
+        """Adds a state: the newest stands, so that a reader finds the one before until the write is done."""
+        rows = self.spark.createDataFrame([(seq, active, sorted(set(slots)))], "seq long, active string, slots array<string>")
+        rows.coalesce(1).write.mode("append").json(f"{self.path}/meta")
 
     def create(self, active: str = "emb_v1") -> None:
-        self._put(active, list(fixed.EMBEDDING_VERSIONS))
+        self._put(active, list(fixed.EMBEDDING_VERSIONS), 0)
 
     def introduce(self, version: str) -> None:
         if version not in self.meta()["slots"]:
@@ -93,11 +94,16 @@ class Index:
         left = monitoring.missing(chunks, self.points(), version).count()
         if left and not force:
             raise ValueError(f"{left} chunks have no vector of {version}")
-        self._put(version, self.meta()["slots"])
+        self._activate(version)
 
     def rollback(self, version: str) -> None:
         """Makes an earlier version active again, without looking at coverage."""
-        self._put(version, self.meta()["slots"])
+        self._activate(version)
+
+    def _activate(self, version: str) -> None:
+        self.introduce(version)  # an error for a version that the index doesn't know
+        now = self.meta()
+        self._put(version, now["slots"], now["seq"] + 1)
 
     def active_view(self, name: str) -> None:
         """A view of the active version's points, replaced in one step."""

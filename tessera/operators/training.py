@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Labels that training spans may have, the marker format and the least examples.
-TARGET_LABELS = """
-accident_location accident_time weather_conditions road_type other_party_plate other_party_name other_party_insurer
-police_case_number injury_description vehicle_drivable fault_admission settlement_preference delayed_reporting
-known_to_other_party vehicle_listed_for_sale
-""".split()
+TARGET_LABELS = [
+    "accident_location", "accident_time", "weather_conditions", "road_type", "other_party_plate", "other_party_name",
+    "other_party_insurer", "police_case_number", "injury_description", "vehicle_drivable", "fault_admission",
+    "settlement_preference", "delayed_reporting", "known_to_other_party", "vehicle_listed_for_sale",
+]
 MARKER = r"\[\[([a-z_]+):([^\[\]]+?)\]\]"
 LEAST_CHARS, LEAST_SPANS = 30, 2
 

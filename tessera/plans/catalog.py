@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import claim_queries, monitor_queries, prompt_queries, retrieval_queries, text_queries  # noqa: F401
+from . import claim_queries, evaluation_queries, monitor_queries, prompt_queries, retrieval_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

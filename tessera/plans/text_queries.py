@@ -65,7 +65,7 @@ def chunk_windows(spark, sf_dir):
     return cut.select("doc_id", named.alias("clause_id"), "window", text.estimate_tokens(F.col("piece")).alias("token_count"), text.content_hash(F.lit("BAAI/bge-m3"), F.col("piece")).alias("cache_key"))
 
 
-MARKED_SQL = r"""'Vorspann ' || doc_id || E'\nTeil A: Umfang\n\n§ ' || (doc_id % 30 + 1) || E' Erstes\n' || left(coalesce(text, ''), 300)
+MARKED_SQL = r"""'Vorspann ' || doc_id || E'\nTeil A: Umfang\n\n§ ' || (doc_id % 30 + 1) || E' Erstes\n' || coalesce(text, '')
     || E'\n4.2 Hoehe der Leistung\nBetrag gemaess § 7 gilt.\n  § 2b Zweites\n' || coalesce(source, '')"""
 
 
@@ -74,7 +74,7 @@ def marked(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     body = F.concat(
         F.lit("Vorspann "), F.col("doc_id").cast("string"), F.lit("\nTeil A: Umfang\n\n§ "), (F.col("doc_id") % 30 + 1).cast("string"), F.lit(" Erstes\n"),
-        F.left(F.coalesce("text", F.lit("")), F.lit(300)), F.lit("\n4.2 Hoehe der Leistung\nBetrag gemaess § 7 gilt.\n  § 2b Zweites\n"), F.coalesce("source", F.lit("")),
+        F.coalesce("text", F.lit("")), F.lit("\n4.2 Hoehe der Leistung\nBetrag gemaess § 7 gilt.\n  § 2b Zweites\n"), F.coalesce("source", F.lit("")),
     )
     return d.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("policy").alias("doc_type"), F.col("source").alias("product_code"), "lang", body.alias("text"))
 

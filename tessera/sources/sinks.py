@@ -80,3 +80,29 @@ def write_baseline(metrics: DataFrame, provenance: DataFrame, path: str, skipped
     as_map = lambda df, k: df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(k, "value")))))
     one = as_map(metrics, "metric").toDF("metrics").crossJoin(F.broadcast(as_map(provenance, "key").toDF("provenance")))
     one.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_records(rows: DataFrame, path: str, mode: str = "error") -> None:
+    """Synthetic rows or benchmark results as JSON lines; an existing path is kept unless mode says otherwise."""
+    rows.write.mode(mode).json(path)
+
+
+def publish(url: str, timeout: float = 2.0):
+    """A function for foreachBatch that posts each row as JSON and forgets it: what can't be delivered in `timeout` seconds is lost, and no error stops the stream.
+
+    Rows go out where they are, from the executors.
+    """
+
+    def post(rows) -> None:
+        from urllib.request import Request, urlopen
+
+        for r in rows:
+            try:
+                urlopen(Request(url, r["value"].encode(), {"Content-Type": "application/json"}), timeout=timeout).close()
+            except (OSError, ValueError):
+                continue
+
+    def batch(rows: DataFrame, _: int) -> None:
+        rows.select(F.to_json(F.struct("*")).alias("value")).foreachPartition(post)
+
+    return batch
