@@ -19,17 +19,17 @@ SEEDS = 2048
 
 
 def scaled(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
-    """(id, v, size, norm2) of the rows that take part: floor(scale * x) of each component as long.
+    """(row, id, v, size, norm2) of the rows that take part: floor(scale * x) of each component as long.
 
-    Rows of null id, and vectors null or with null or non-finite components, take no part. Rows equal in id and
-    vector count once.
+    Rows of null id, and vectors null or with null or non-finite components, take no part. `row` numbers the rows, so
+    that rows that repeat an id stay rows of their own; it must be written before it is used twice.
     """
     v = F.col(vector_col).cast("array<double>")
     fit = F.col(id_col).isNotNull() & v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     ints = F.transform(v, lambda x: F.floor(x * F.lit(float(scale))))
     rows = vectors.where(fit).select(F.col(id_col).cast("long").alias("id"), ints.alias("v"))
     norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    return rows.distinct().select("id", "v", F.size("v").alias("size"), norm2.alias("norm2"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "id", "v", F.size("v").alias("size"), norm2.alias("norm2"))
 
 
 def rotation(rows: DataFrame, width: int) -> np.ndarray:
@@ -69,10 +69,10 @@ def lengths(x: np.ndarray) -> np.ndarray:
     return np.sqrt((x.astype(float) ** 2).sum(1))
 
 
-def best(q_ids, q, c_ids, c, floor, turn, k: int):
-    """(query row, candidate row, score) of what may be among a query's k best of this block.
+def best(q_rows, q, c_rows, c_ids, c, floor, turn, k: int):
+    """(query's place, candidate's place, score) of what may be among a query's k best of this block.
 
-    floor: the score of a candidate that k candidates of the query are known to reach (or -inf).
+    q_rows and c_rows are the rows' numbers: a query meets every row but its own. floor: the score of a candidate that k candidates of the query are known to reach (or -inf).
     Candidates come by descending length, so those too short for every floor are a tail. After each step
     of rotated dimensions a pair's score is at most its partial sum plus the product of
     the lengths of the two remainders (Cauchy-Schwarz); pairs below the floor go, and only the
@@ -108,9 +108,9 @@ def best(q_ids, q, c_ids, c, floor, turn, k: int):
             s, i = score[i, j], rows[i]
         else:
             s = np.concatenate([np.zeros(0, np.int64), *((q[i[a : a + 65536]] * c[j[a : a + 65536]]).sum(1) for a in range(0, len(i), 65536))])
-        ok = (s >= floor[i]) & (q_ids[i] != c_ids[j])
+        ok = (s >= floor[i]) & (q_rows[i] != c_rows[j])
         i, j, s = i[ok], j[ok], s[ok]
-        order = np.lexsort((c_ids[j], -s, i))
+        order = np.lexsort((c_rows[j], c_ids[j], -s, i))
         i, j, s = i[order], j[order], s[order]
         top = np.arange(len(i)) - np.searchsorted(i, i, "left") < k
         for to, x in zip(out, (i[top], j[top], s[top])):
@@ -119,12 +119,12 @@ def best(q_ids, q, c_ids, c, floor, turn, k: int):
 
 
 def _blocks(rows: DataFrame, size: int, width: int) -> DataFrame:
-    """Rows packed by descending length: bid, norm (the longest), ids and data (int64 bytes)."""
+    """Rows packed by descending length: bid, norm (the longest), rows, ids and data (int64 bytes)."""
 
     def packed(t):
-        ids, v = t["id"].to_numpy(), padded(t["v"], width)
         norm = float(np.sqrt(t["norm2"].to_numpy().max()))
-        return pa.RecordBatch.from_arrays([pa.array([norm]), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([v.astype("<i8").tobytes()], pa.binary())], names=["norm", "ids", "data"])
+        parts = [x.astype("<i8").tobytes() for x in (t["row"].to_numpy(), t["id"].to_numpy(), padded(t["v"], width))]
+        return pa.RecordBatch.from_arrays([pa.array([norm]), *(pa.array([x], pa.binary()) for x in parts)], names=["norm", "rows", "ids", "data"])
 
     def cut(batches):
         held = None
@@ -137,8 +137,8 @@ def _blocks(rows: DataFrame, size: int, width: int) -> DataFrame:
         if held is not None and held.num_rows:
             yield packed(held)
 
-    dealt = rows.repartitionByRange(F.desc("norm2"), "id").sortWithinPartitions(F.desc("norm2"), "id")
-    return written(dealt.mapInArrow(cut, "norm double, ids binary, data binary").withColumn("bid", F.monotonically_increasing_id()))
+    dealt = rows.repartitionByRange(F.desc("norm2"), "id", "row").sortWithinPartitions(F.desc("norm2"), "id", "row")
+    return written(dealt.mapInArrow(cut, "norm double, rows binary, ids binary, data binary").withColumn("bid", F.monotonically_increasing_id()))
 
 
 def topk(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0) -> DataFrame:
@@ -146,11 +146,13 @@ def topk(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vector
 
     Components are floor(scale * x). `queries` makes a condition of the id column. Ties go to the smaller id; a query
     with fewer candidates gets them all. See `scaled` for rows that take no part; shorter vectors count as if
-    filled with zeros; of an id with several vectors the largest score of each pair of ids stands.
+    filled with zeros. Rows that repeat an id, with the same vector or not, are each a query of its own and a candidate of every
+    other row. An empty table gives no rows; other columns, of any name, are not read.
 
     Rows are packed into blocks by descending length. Every query first meets the SEEDS longest rows and as
     many by a hash, for a floor; then each block of queries meets, in a task of its own, each block of
-    candidates that is long enough for some floor of its queries.
+    candidates that is long enough for some floor of its queries. Which blocks meet is told by their numbers, lengths and needs;
+    vectors travel only to pairs that do.
     """
     rows = written(scaled(vectors, id_col, vector_col, scale))
     width = rows.agg(F.max("size")).first()[0] or 1
@@ -159,57 +161,58 @@ def topk(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vector
     asked = _blocks(rows.where(queries(F.col("id"))), QUERIES, width)
     count = blocks.count()
     # 2 * SEEDS rows at most
-    first = rows.orderBy(F.desc("norm2"), "id").limit(SEEDS).unionByName(rows.orderBy(F.xxhash64("id"), "norm2").limit(SEEDS))
-    first = {r["id"]: r["v"] for r in first.collect()}
-    seed_ids, seeds = np.array(list(first), np.int64), np.array([v + [0] * (width - len(v)) for v in first.values()], np.int64).reshape(len(first), width)
-    known = vectors.sparkSession.sparkContext.broadcast((turn, seed_ids, seeds))
+    first = rows.orderBy(F.desc("norm2"), "id", "row").limit(SEEDS).unionByName(rows.orderBy(F.xxhash64("id", "row"), "row").limit(SEEDS))
+    first = {r["row"]: r["v"] for r in first.select("row", "v").collect()}
+    seed_rows, seeds = np.array(list(first), np.int64), np.array([v + [0] * (width - len(v)) for v in first.values()], np.int64).reshape(len(first), width)
+    known = vectors.sparkSession.sparkContext.broadcast((turn, seed_rows, seeds))
 
     def matrix(data: bytes) -> np.ndarray:
         return np.frombuffer(data, "<i8").reshape(-1, width)
 
     def floors(batches):
-        _, seed_ids, seeds = known.value
+        _, seed_rows, seeds = known.value
+        kinds = pa.schema([("qid", pa.int64()), ("q_rows", pa.binary()), ("q_ids", pa.binary()), ("q_data", pa.binary()), ("floor", pa.binary()), ("need", pa.float64())])
         for b in batches:
             out = []
             for r in b.to_pylist():
-                ids, q = np.frombuffer(r["ids"], "<i8"), matrix(r["data"])
+                q = matrix(r["data"])
                 score = exact_products(q, seeds).astype(float)
-                score[ids[:, None] == seed_ids[None, :]] = -np.inf
+                score[np.frombuffer(r["rows"], "<i8")[:, None] == seed_rows[None, :]] = -np.inf
                 floor = np.partition(score, -k, 1)[:, -k] if score.shape[1] >= k else np.full(len(q), -np.inf)
-                out.append(r | {"floor": floor.tobytes(), "need": float((floor / np.maximum(lengths(q), 1e-9)).min())})
-            kinds = pa.schema([("ids", pa.binary()), ("data", pa.binary()), ("floor", pa.binary()), ("need", pa.float64())])
+                need = float((floor / np.maximum(lengths(q), 1e-9)).min())
+                out.append({"qid": r["bid"], "q_rows": r["rows"], "q_ids": r["ids"], "q_data": r["data"], "floor": floor.tobytes(), "need": need})
             yield pa.RecordBatch.from_pylist(out, kinds)
 
     def meet(batches):
         turn = known.value[0]
         for b in batches:
             for r in b.to_pylist():
-                q_ids, c_ids = (np.frombuffer(r[x], "<i8") for x in ("q_ids", "ids"))
-                i, j, s = best(q_ids, matrix(r["q_data"]), c_ids, matrix(r["data"]), np.frombuffer(r["floor"]), turn, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(c_ids[j]), pa.array(s)], names=["query_id", "vec_id", "score"])
+                q_rows, q_ids, c_rows, c_ids = (np.frombuffer(r[x], "<i8") for x in ("q_rows", "q_ids", "rows", "ids"))
+                i, j, s = best(q_rows, matrix(r["q_data"]), c_rows, c_ids, matrix(r["data"]), np.frombuffer(r["floor"]), turn, k)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (q_rows[i], q_ids[i], c_rows[j], c_ids[j], s)], names=["query", "query_id", "row", "vec_id", "score"])
 
-    floored = asked.select("ids", "data").mapInArrow(floors, "ids binary, data binary, floor binary, need double")
-    floored = floored.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), "floor", "need")
+    kinds = "qid long, q_rows binary, q_ids binary, q_data binary, floor binary, need double"
+    floored = written(asked.select("bid", "rows", "ids", "data").mapInArrow(floors, kinds))
     number = F.row_number().over(W.orderBy(F.desc("norm"), "bid")) - 1
     numbered = blocks.select("bid", "norm").withColumn("block", number)
-    due = floored.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))) if count else floored.withColumn("block", F.lit(0))
-    due = due.join(numbered, "block").where("norm >= need - 1e-6 * (1 + abs(need))").drop("norm")
-    pairs = due.join(blocks.select("bid", "ids", "data"), "bid").repartition(F.xxhash64("bid", "q_ids"))
-    found = pairs.select("q_ids", "q_data", "floor", "ids", "data").mapInArrow(meet, "query_id long, vec_id long, score long")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order))
+    due = floored.select("qid", "need", F.explode(F.sequence(F.lit(0), F.lit(max(count, 1) - 1))).alias("block"))
+    due = due.join(numbered, "block").where("norm >= need - 1e-6 * (1 + abs(need))").select("qid", "bid")
+    pairs = due.join(floored.drop("need"), "qid").join(blocks.drop("norm"), "bid").repartition(F.xxhash64("bid", "qid"))
+    found = pairs.drop("qid", "bid").mapInArrow(meet, "query long, query_id long, row long, vec_id long, score long")
+    order = W.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
+    ranked = found.withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """
-WITH fit AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v
+WITH fit AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
-  FROM fit q JOIN fit c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+  SELECT q.r AS query, q.vec_id AS query_id, c.r, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM fit q JOIN fit c ON q.r <> c.r WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id, r)::INT AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """

@@ -25,19 +25,21 @@ def test_topk_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 32)
     monkeypatch.setattr(topk, "QUERIES", 8)
     monkeypatch.setattr(topk, "SEEDS", 16)
-    data = rows() + ODD + [(3, rows()[3][1]), (150, [100.0] * 8)]
+    data = rows() + ODD + [(3, rows()[3][1]), (150, [100.0] * 8), (20, rows()[20][1])]
     got = topk.topk(frame(spark, data), lambda c: c % 5 == 0, k=5).collect()
-    fit = {(i, tuple(v)) for i, v in data if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)}
+    fit = [(i, v) for i, v in data if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)]
     ints = [(i, np.array([int(np.floor(256 * c)) for c in v] + [0] * (8 - len(v)), object)) for i, v in fit]
-    want = set()
-    for q in {i for i, _ in ints if i % 5 == 0}:
-        best = {}
-        for i, v in ints:
-            if i != q:
-                best[i] = max([best.get(i, -(10**30)), *(int((w * v).sum()) for j, w in ints if j == q)])
-        for r, (i, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5], 1):
-            want.add((q, r, i, s))
-    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    want = []
+    for q, (i, v) in enumerate(ints):  # rows that repeat an id are queries and candidates of their own
+        if i % 5 == 0:
+            others = sorted((-int((w * v).sum()), j) for c, (j, w) in enumerate(ints) if c != q)
+            want += [(i, r, j, -s) for r, (s, j) in enumerate(others[:5], 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_topk_finds_a_row_that_repeats_its_query(spark):
+    got = topk.topk(frame(spark, [(5, [1.0, 2.0]), (5, [1.0, 2.0]), (6, [1.0, 0.0])]), lambda c: c % 5 == 0, k=2).collect()
+    assert sorted(map(tuple, got)) == [(5, 1, 5, 5 * 65536)] * 2 + [(5, 2, 6, 65536)] * 2
 
 
 def test_topk_of_few_rows_and_large_numbers(spark):
