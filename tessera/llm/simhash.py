@@ -8,6 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -168,23 +169,17 @@ def near_pairs(keys: list[np.ndarray], sketch: np.ndarray, limit: int, short: in
             yield np.full(len(j), i), j + i + 1, d[j]
 
 
-def pick_pairs(keys: list[np.ndarray], sketch: np.ndarray, root: np.ndarray, sketch_limit: int, most: int, chunk: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, cut): of each row of a bucket pairs with the `most` nearest sketches and the hub, out of rows of other roots; and
-    the rows that have more of them.
+def pick_pairs(keys: list[np.ndarray], sketch: np.ndarray, sketch_limit: int, most: int, chunk: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): of each row of a bucket pairs with the `most` nearest sketches and the hub.
 
     The hub is the row, among those within `sketch_limit`, that most rows are clearly near to: the text that the others of
     a group are copies of. So groups give pairs in proportion to their rows.
     """
     n = sketch.shape[1]
     clear = sketch_limit - 9
-    degree, near, hub = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1, np.int64)
+    degree, hub = np.zeros(n, np.int64), np.full(n, -1, np.int64)
     kept, held = np.zeros((3, 0), np.int64), 0
 
-    def apart():
-        for i, j, d in near_pairs(keys, sketch, sketch_limit):
-            at = root[i] != root[j]
-            yield i[at], j[at], d[at]
-
     def nearest(parts):
         i, j, d = np.concatenate(parts, 1)
         order = np.lexsort((j, d, i))
@@ -194,23 +189,21 @@ def pick_pairs(keys: list[np.ndarray], sketch: np.ndarray, root: np.ndarray, ske
         return np.stack([i, j[order], d[order]])[:, place < most]
 
     parts = [kept]
-    for i, j, d in apart():
+    for i, j, d in near_pairs(keys, sketch, sketch_limit):
         at = d <= clear
         np.add.at(degree, i[at], 1)
         np.add.at(degree, j[at], 1)
-        np.add.at(near, i, 1)
-        np.add.at(near, j, 1)
         parts.append(np.stack([np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([d, d])]))
         held += 2 * len(i)
         if held > chunk:
             parts = [nearest(parts)]
             held = 0
     i, j, _ = nearest(parts)
-    for u, v, _ in apart():
+    for u, v, _ in near_pairs(keys, sketch, sketch_limit):
         np.maximum.at(hub, u, (degree[v] << 32) | (n - 1 - v))
         np.maximum.at(hub, v, (degree[u] << 32) | (n - 1 - u))
     rows = np.flatnonzero(hub >= 0)
-    return np.concatenate([i, rows]), np.concatenate([j, n - 1 - (hub[rows] & np.int64((1 << 32) - 1))]), np.flatnonzero(near > most)
+    return np.concatenate([i, rows]), np.concatenate([j, n - 1 - (hub[rows] & np.int64((1 << 32) - 1))])
 
 
 def _linker(limit: int, keys: list[str]):
@@ -225,28 +218,93 @@ def _linker(limit: int, keys: list[str]):
     return run
 
 
-def _picker(keys: list[str], sketch_limit: int, most: int | None):
-    """Pairs of `pick_pairs`, and a row without b for each run of buckets that has more; all pairs of different roots if most is None."""
+def _sketch_words(t: pa.Table) -> np.ndarray:
+    return np.stack([t[c].to_numpy().view(np.uint64) for c in SKETCH])
+
 
-    def named(cid, i, j, cut=0):
-        a, b = np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])
-        more = np.full(min(cut, 1), -1)
-        gone = np.arange(len(b) + len(more)) >= len(b)
-        return pa.RecordBatch.from_arrays([pa.array(np.append(a, more)), pa.array(np.append(b, more), mask=gone)], names=["a", "b"])
+def _picker(keys: list[str], sketch_limit: int, most: int):
+    """Pairs of `pick_pairs`."""
 
     def run(batches):
         for t in runs_of(batches, keys):
             t = t.combine_chunks()
-            cid, root = t["cid"].to_numpy(), t["root"].to_numpy()
-            sketches, own = np.stack([t[c].to_numpy().view(np.uint64) for c in SKETCH]), [t[k].to_numpy() for k in keys]
-            if most is None:
-                for i, j, _ in near_pairs(own, sketches, sketch_limit):
-                    at = root[i] != root[j]
-                    if at.any():
-                        yield named(cid, i[at], j[at])
-            else:
-                i, j, cut = pick_pairs(own, sketches, root, sketch_limit, most)
-                yield named(cid, i, j, len(cut))
+            cid = t["cid"].to_numpy()
+            i, j = pick_pairs([t[k].to_numpy() for k in keys], _sketch_words(t), sketch_limit, most)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cid[i], cid[j])), pa.array(np.maximum(cid[i], cid[j]))], names=["a", "b"])
+
+    return run
+
+
+def open_pairs(t: pa.Table, keys: list[str], sketch_limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i < j) of a table of buckets that still want a look at the texts: near by their sketches, of different
+    roots, and not together in an earlier band nor in another meeting of pieces. So each pair comes up once over all buckets."""
+    root, bits = t["root"].to_numpy(), t["bits"].to_numpy()
+    bands = pc.list_flatten(t["bands"]).to_numpy().reshape(-1, BANDS)
+    earlier = np.arange(BANDS) < (bands == bits[:, None]).argmax(1)[:, None]
+    own, one = (t["own"].to_numpy(), t["i"].to_numpy() == t["j"].to_numpy()) if len(keys) > 1 else (None, None)
+    for i, j, _ in near_pairs([t[k].to_numpy() for k in keys], _sketch_words(t), sketch_limit):
+        keep = root[i] != root[j]
+        if own is not None:
+            keep &= one[i] | (own[i] != own[j])
+        i, j = i[keep], j[keep]
+        new = ~((bands[i] == bands[j]) & earlier[i]).any(1)
+        if new.any():
+            yield i[new], j[new]
+
+
+def _marker(keys: list[str], sketch_limit: int):
+    """Rows of buckets that have an open pair there, at most one for each row: never the pairs."""
+
+    def run(batches):
+        for t in runs_of(batches, keys):
+            t = t.combine_chunks()
+            some = np.zeros(t.num_rows, bool)
+            for i, j in open_pairs(t, keys, sketch_limit):
+                some[i] = some[j] = True
+            yield pa.RecordBatch.from_arrays([pa.array(t[c].to_numpy()[some]) for c in ("bits", "cid")], names=["bits", "cid"])
+
+    return run
+
+
+def similar_sets(sets: list[np.ndarray], pairs: Iterator[tuple[np.ndarray, np.ndarray]], least: float) -> Forest:
+    """The groups that pairs (i < j) of sets of a Jaccard similarity of `least` or more join; pairs of one group are not looked at again."""
+    forest, size = Forest(len(sets)), np.array([len(s) for s in sets], np.int64)
+    own = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(size)[:-1])
+    marked = np.zeros(sum(map(len, sets)), bool)
+    for i, j in pairs:
+        able = np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j])
+        i, j = i[able], j[able]
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        start = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else []
+        for s, e in zip(start, [*start[1:], len(i)]):
+            u, v = i[s], j[s:e]
+            v = v[forest.label[v] != forest.label[u]]
+            marked[own[u]] = True
+            both = np.array([np.count_nonzero(marked[own[x]]) for x in v], np.int64)
+            marked[own[u]] = False
+            hit = v[both / (size[u] + size[v] - both) >= least]
+            if len(hit):
+                forest.join(np.full(len(hit), u), hit)
+    return forest
+
+
+def _verifier(keys: list[str], sketch_limit: int, k: int, least: float):
+    """Edges that connect what the open pairs of each bucket connect by the similarity of their texts: at most one for each row."""
+
+    def run(batches):
+        for t in runs_of(batches, keys):
+            key = [t[c].to_numpy() for c in keys]
+            start = np.flatnonzero(np.append(True, np.logical_or.reduce([x[1:] != x[:-1] for x in key])))
+            for s, e in zip(start, [*start[1:], t.num_rows]):
+                if e - s < 2:
+                    continue
+                own = t.slice(s, e - s).combine_chunks()
+                words = [x.encode().lower().split() for x in own["text"].to_pylist()]
+                label = similar_sets([shingle_set(w, k) for w in words], open_pairs(own, keys, sketch_limit), least).label
+                at, cid = np.flatnonzero(label != np.arange(len(label))), own["cid"].to_numpy()
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(cid[at]), pa.array(cid[label[at]])], names=["a", "b"])
 
     return run
 
@@ -306,8 +364,8 @@ CLASS, SKETCH = ["h0", "h1"], ["s0", "s1", "s2", "s3"]
 #: Texts meet where the minimal hashes of one of BANDS bands of BAND are equal: at a similarity of 0.8 one pair in 14,000 never does.
 BANDS, BAND = 24, 5
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
-#: Nearest candidates of a row that a round picks at most; the round after that takes every candidate.
-MOST = 256
+#: Nearest candidates of a row and bucket that are verified first.
+MOST = 1
 #: Odd factors, each of which orders the shingles in a way of its own.
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -378,16 +436,18 @@ def jaccard_udf(k: int, held: int = 64):
     return jaccard
 
 
-def similar_groups(docs: DataFrame, k: int = 5, least: float = 0.8, sketch_limit: int = 54, bucket_rows: int = 4096) -> DataFrame:
+def similar_groups(docs: DataFrame, k: int = 5, least: float = 0.8, sketch_limit: int = 54, bucket_rows: int = 4096, text_rows: int = 512) -> DataFrame:
     """(doc_id, digest, root) of every row: a number for each group of texts that links of a Jaccard similarity of `least` or more of their
     k-word shingles connect. digest: a hash of the text, which tells rows of one id apart.
 
     Candidates meet in buckets of equal bands of minimal hashes of the shingle sets. How likely two texts meet depends on their
     similarity alone, not on where they differ nor on the number of rows. The sketches of texts of a similarity of 0.8
-    differ in 26 of 256 bits on average, with a deviation of 5, and may differ in `sketch_limit`. Candidates are
-    verified on the texts in rounds: of each row and bucket the pairs of `pick_pairs`, then, among rows that are not yet in one
-    component, four times as many in each round and from MOST on all at once, until no candidate is left out. So a group of copies gives pairs
-    in proportion to its rows, and every candidate pair is verified or lies in one component. Texts of equal shingle sets are one class.
+    differ in 26 of 256 bits on average, with a deviation of 5, and may differ in `sketch_limit`. First the pairs of `pick_pairs` of
+    each row and bucket are verified, so that a group of copies, which its hub joins, gives pairs in proportion to its rows. Then
+    every candidate pair that is not yet in one component is verified in the first bucket that it shares: rows with such a pair bring their
+    texts there, buckets of more than `text_rows` such rows are cut into pieces that meet pairwise, and a bucket gives at most one
+    edge a row. So every candidate pair is verified or lies in one component, and no table holds pairs. Texts of equal
+    shingle sets are one class.
     """
     digest = F.xxhash64(F.coalesce("text", F.lit("")))
     prints = written(docs.select("doc_id", digest.alias("digest"), "text").mapInArrow(_sketches(k), "doc_id long, digest long, h0 long, h1 long, s0 long, s1 long, s2 long, s3 long, keys array<bigint>"))
@@ -395,34 +455,26 @@ def similar_groups(docs: DataFrame, k: int = 5, least: float = 0.8, sketch_limit
     keyed = classes.select("cid", F.explode("keys").alias("bits"))
     shared = keyed.groupBy("bits").count().where("count > 1").select("bits")
     live = written(keyed.join(shared, "bits").join(classes.select("cid", *SKETCH), "cid"))
-    # texts of the classes that meet others, once for all rounds
+    # texts of the classes that meet others, once for both passes
     named = classes.join(live.select("cid").distinct(), "cid").select("cid", F.coalesce("least.doc_id", F.lit(0)).alias("_id"), F.col("least.doc_id").isNull().alias("_none"), F.col("least.digest").alias("_digest"))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), digest.alias("_digest"), "text")
     live_texts = written(rows.join(named, ["_id", "_none", "_digest"]).groupBy("cid").agg(F.first("text").alias("text")))
-    roots = seen = None
-    most, left = 1, True
-    while left:
-        if roots is None:
-            now = live.withColumn("root", F.col("cid"))
-        else:
-            now = live.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-            split = now.groupBy("bits").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bits")
-            now = written(now.join(split, "bits"))
-        found = [rows.repartition(*keys).sortWithinPartitions(*keys, "cid").mapInArrow(_picker(keys, sketch_limit, most), "a long, b long") for rows, keys in pieced(now, ["bits"], "cid", bucket_rows)]
-        found = written(reduce(DataFrame.unionByName, found).distinct())
-        left, pairs = not found.where("b IS NULL").isEmpty(), found.where("b IS NOT NULL")
-        if seen is not None:
-            pairs = written(pairs.join(seen, ["a", "b"], "left_anti"))
-        ends = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-        texts = live_texts.join(ends, "cid")
-        x, y = (texts.select(F.col("cid").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
-        edges = pairs.join(x, "a").join(y, "b")
-        edges = edges.where(jaccard_udf(k)("text_a", "text_b") >= least).select("a", "b")
-        if roots is None:
-            roots, seen = connected_components(edges), pairs
-        else:
-            roots, seen = connected_components(edges.unionByName(roots.toDF("a", "b"))), seen.unionByName(pairs)
-        most = most * 4 if most and most < MOST else None
+    picked = [rows.repartition(*keys).sortWithinPartitions(*keys, "cid").mapInArrow(_picker(keys, sketch_limit, MOST), "a long, b long") for rows, keys in pieced(live, ["bits"], "cid", bucket_rows)]
+    pairs = written(reduce(DataFrame.unionByName, picked).distinct())
+    x, y = (live_texts.select(F.col("cid").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
+    roots = connected_components(pairs.join(x, "a").join(y, "b").where(jaccard_udf(k)("text_a", "text_b") >= least).select("a", "b"))
+    now = live.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    split = now.groupBy("bits").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bits")
+    now = written(now.join(split, "bits").join(classes.select("cid", F.col("keys").alias("bands")), "cid"))
+    marks = [rows.repartition(*keys).sortWithinPartitions(*keys, "cid").mapInArrow(_marker(keys, sketch_limit), "bits long, cid long") for rows, keys in pieced(now, ["bits"], "cid", bucket_rows)]
+    marks = written(reduce(DataFrame.unionByName, marks).distinct())
+    edges = [
+        rows.join(now, ["bits", "cid"]).join(live_texts, "cid").repartition(*keys).sortWithinPartitions(*keys, "cid").mapInArrow(_verifier(keys, sketch_limit, k, least), "a long, b long")
+        for rows, keys in pieced(marks, ["bits"], "cid", text_rows)
+    ]
+    edges = written(reduce(DataFrame.unionByName, edges))
+    if not edges.isEmpty():
+        roots = connected_components(edges.unionByName(roots.toDF("a", "b")))
     named = classes.join(roots, classes.cid == roots.node, "left").select(*CLASS, F.coalesce("root", "cid").alias("root"))
     return prints.join(named, CLASS).select("doc_id", "digest", "root")
 

@@ -175,7 +175,7 @@ def brute_similar(texts):
     return root
 
 
-@pytest.mark.parametrize("most", [256, 4])
+@pytest.mark.parametrize("most", [256, 4, 1])
 def test_template_texts_do_not_hide_a_pair_and_chains_of_copies_stay_whole(spark, monkeypatch, most):
     monkeypatch.setattr(simhash, "MOST", most)
     rng, texts = random.Random(13), []
