@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .buckets import Forest, pieced, runs_of
 from .common import written
@@ -97,32 +98,35 @@ def link_bucket(x, mult, own, pair, code_of, table: int, code: int, threshold: f
     return links, forest.label
 
 
-def units(data, width: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(data), "<f8").reshape(-1, width)
+def units(data, width: int, kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(data), kind).astype(np.float64).reshape(-1, width)
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def links_of(classes: DataFrame, n: int, width: int, threshold: float, probes: int = 2) -> DataFrame:
+def links_of(classes: DataFrame, n: int, width: int, threshold: float, kind: str = "<f8", probes: int = 2) -> DataFrame:
     """(cid, links, a, b): link counts of classes first met in a bucket, and edges (a, b) that connect them.
 
-    classes: cid, mult and v (float64 bytes) of distinct vectors. The number of functions of a table grows with the
+    classes: cid, mult and v (bytes of `kind`, which holds each component exactly) of distinct vectors. Rows travel to every
+    bucket with v and their codes, so both are as narrow as they can be. The number of functions of a table grows with the
     logarithm of n, so that buckets stay small, and the number of tables with what that costs in recall.
     """
     side = 2 << max(1, int(np.ceil(np.log2(max(2, width)))))
     functions = max(1, round(np.log(max(n, 2)) / np.log(side)))
     tables = int(np.ceil(np.log(MISSED) / np.log(1 - KEPT**functions)))
+    corners = side**functions
+    narrow = "<u2" if corners <= 1 << 16 else "<u4" if corners <= 1 << 32 else "<i8"
     kinds = "tbl int, code long, cid long, mult long, v binary, codes binary"
 
     def hash_rows(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            c = codes(units(b["v"].to_pylist(), width), tables, functions, probes)
+            c = codes(units(b["v"].to_pylist(), width, kind), tables, functions, probes)
             fresh = np.ones(c.shape, bool)  # a table's codes once each
             for p in range(1, c.shape[2]):
                 fresh[:, :, p] = (c[:, :, p, None] != c[:, :, :p]).all(2)
             row, table, probe = np.nonzero(fresh)
-            packed = pa.array([x.tobytes() for x in c.astype("<i8")], pa.binary())
+            packed = pa.array([x.tobytes() for x in c.astype(narrow)], pa.binary())
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(table.astype(np.int32)), pa.array(c[row, table, probe]), b["cid"].take(at), b["mult"].take(at), b["v"].take(at), packed.take(at)], names=["tbl", "code", "cid", "mult", "v", "codes"]
@@ -140,9 +144,9 @@ def links_of(classes: DataFrame, n: int, width: int, threshold: float, probes: i
                         continue
                     own = t.slice(s, e - s)
                     cid, mult = own["cid"].to_numpy(), own["mult"].to_numpy()
-                    code_of = np.frombuffer(b"".join(own["codes"].to_pylist()), "<i8").reshape(len(cid), tables, 1 + probes)
+                    code_of = np.frombuffer(b"".join(own["codes"].to_pylist()), narrow).reshape(len(cid), tables, 1 + probes)
                     pair = (key[2][s], key[3][s]) if len(key) > 2 else None
-                    links, label = link_bucket(units(own["v"].to_pylist(), width), mult, own["own"].to_numpy() if pair else None, pair, code_of, int(key[0][s]), int(key[1][s]), threshold)
+                    links, label = link_bucket(units(own["v"].to_pylist(), width, kind), mult, own["own"].to_numpy() if pair else None, pair, code_of, int(key[0][s]), int(key[1][s]), threshold)
                     some = np.flatnonzero((links > 0) | (label != np.arange(len(label))))
                     out.append((cid[some], links[some], cid[some], cid[label[some]]))
                 if out:
@@ -172,6 +176,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     # equal up to trailing zeros is equal; -0.0 is 0.0
     rows = written(all_rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).withColumn("h", F.xxhash64("v")))
     has = rows.where("v IS NOT NULL")
+    kind = "<f4" if vectors.schema[vector_col].dataType.elementType == FloatType() else "<f8"
     width = has.agg(F.max(F.size("v"))).first()[0]
     if not width:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -180,10 +185,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
 
     def as_bytes(batches):
         for b in batches:
-            out = [np.pad(np.array(v, "<f8"), (0, width - len(v))).tobytes() for v in b["v"].to_pylist()]
+            out = [np.pad(np.array(v, kind), (0, width - len(v))).tobytes() for v in b["v"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["cid"], b["mult"], pa.array(out, pa.binary())], names=["cid", "mult", "v"])
 
-    found = links_of(classes.select("cid", "mult", "v").mapInArrow(as_bytes, "cid long, mult long, v binary"), classes.count(), width, threshold)
+    found = links_of(classes.select("cid", "mult", "v").mapInArrow(as_bytes, "cid long, mult long, v binary"), classes.count(), width, threshold, kind)
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select("a", "b"))
     at = classes.join(roots, classes.cid == roots.node, "left").select("cid", "h", "v", "mult", "least", F.coalesce("root", "cid").alias("root"))
