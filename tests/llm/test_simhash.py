@@ -196,3 +196,31 @@ def test_template_texts_do_not_hide_a_pair_and_chains_of_copies_stay_whole(spark
     assert len(set(want[:190])) == 170
     got = dict(simhash.similar_components(spark.createDataFrame(list(enumerate(texts)), DOC)).collect())
     assert [got[i] for i in range(len(texts))] == want
+
+
+def test_hot_buckets_are_cut_and_every_open_pair_is_still_verified(spark):
+    rng, texts = random.Random(14), []
+    template = some_words(rng, 170)
+    for _ in range(60):
+        texts.append(template + some_words(rng, 27))
+    for _ in range(12):
+        twin = template + some_words(rng, 27)
+        texts += [twin, twin[:-20] + some_words(rng, 20)]
+    texts = [" ".join(t) for t in texts]
+    got = dict(simhash.similar_components(spark.createDataFrame(list(enumerate(texts)), DOC), bucket_rows=16, text_rows=8).collect())
+    assert [got[i] for i in range(len(texts))] == brute_similar(texts)
+
+
+def test_open_pairs_come_up_once_and_similar_sets_join_what_brute_force_joins():
+    rng = np.random.default_rng(15)
+    base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(150, 200)], rng.integers(0, 1 << 63, rng.integers(0, 30), dtype=np.uint64)])) for _ in range(60)]
+    i, j = np.triu_indices(60, 1)
+    label = simhash.similar_sets(sets, iter([(i[::2], j[::2]), (i[1::2], j[1::2])]), 0.8).label
+    root = list(range(60))
+    for u, v in zip(i.tolist(), j.tolist()):
+        both = len(np.intersect1d(sets[u], sets[v]))
+        if both / (len(sets[u]) + len(sets[v]) - both) >= 0.8:
+            low, high = sorted((root[u], root[v]))
+            root = [low if r == high else r for r in root]
+    assert label.tolist() == root and 1 < len(set(root)) < 60

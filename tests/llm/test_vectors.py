@@ -100,3 +100,10 @@ def test_recall_at_the_threshold():
 def test_no_rows(spark):
     assert embed_dedup.near_duplicates(frame(spark, [])).collect() == []
     assert [tuple(r) for r in embed_dedup.near_duplicates(frame(spark, [(4, None)])).collect()] == [(4, 0, 4, True)]
+
+
+def test_doubles_are_compared_in_full(spark):
+    side = (1 - 0.95**2) ** 0.5
+    data = [(1, [1.0, 0.0]), (2, [0.95, side - 1e-10]), (3, [0.95, side + 1e-10])]  # alike as floats
+    got = embed_dedup.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links) for r in got) == [(1, 1), (2, 2), (3, 1)]
