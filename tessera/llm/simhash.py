@@ -68,26 +68,32 @@ def gray_rank(column):
     return g.bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
 
 
+def bits_set(x: np.ndarray) -> np.ndarray:
+    """Number of set bits of words, or of columns of several words."""
+    count = np.bitwise_count(x)
+    return count if x.ndim == 1 else count.sum(0, dtype=np.int16)
+
+
 def tree_pairs(f: np.ndarray, limit: int, leaf: int = 16, fan: int = 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i < j) of Gray-sorted words that differ in at most `limit` bits.
+    """Index pairs (i < j) of Gray-sorted fingerprints that differ in at most `limit` bits: words, or columns of several.
 
     Upper nodes hold the bits that all their words share (a mask and a value). Pairs of
     nodes whose shared bits already differ in more than `limit` places are dropped with
     all that is under them; the others are opened level by level down to the words.
     """
-    n = len(f)
+    n = f.shape[-1]
     levels = []  # from the leaves up: start of each node, mask, value
     start = np.arange(0, n, leaf)
-    every, some = np.bitwise_and.reduceat(f, start), np.bitwise_or.reduceat(f, start)
+    every, some = np.bitwise_and.reduceat(f, start, axis=-1), np.bitwise_or.reduceat(f, start, axis=-1)
     levels.append((start, ~(every ^ some), every))
     while len(levels[-1][0]) > fan:
         step = np.arange(0, len(levels[-1][0]), fan)
-        every, some = np.bitwise_and.reduceat(every, step), np.bitwise_or.reduceat(some, step)
+        every, some = np.bitwise_and.reduceat(every, step, axis=-1), np.bitwise_or.reduceat(some, step, axis=-1)
         levels.append((step, ~(every ^ some), every))
 
     def near(level, a, b):
         _, mask, value = levels[level]
-        return np.bitwise_count((value[a] ^ value[b]) & mask[a] & mask[b]) <= limit
+        return bits_set((value[..., a] ^ value[..., b]) & mask[..., a] & mask[..., b]) <= limit
 
     def opened(a, b, count, width):
         """Pairs of the children of nodes a and b, each once, where i <= j."""
@@ -109,7 +115,7 @@ def tree_pairs(f: np.ndarray, limit: int, leaf: int = 16, fan: int = 16) -> Iter
                 todo.append((level - 1, i, j))
             else:
                 i, j = opened(pa_, pb_, n, leaf)
-                hit = (i < j) & (np.bitwise_count(f[i] ^ f[j]) <= limit)
+                hit = (i < j) & (bits_set(f[..., i] ^ f[..., j]) <= limit)
                 if hit.any():
                     yield i[hit], j[hit]
 
@@ -143,30 +149,28 @@ def link_runs(keys: list[np.ndarray], f: np.ndarray, limit: int) -> Forest:
     return forest
 
 
-def near_pairs(keys: list[np.ndarray], sketch: np.ndarray, limit: int, short: int = 48) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Index pairs (i < j) of rows of equal keys (sorted by key) whose sketches differ in at most `limit` bits, and how many differ."""
+def near_pairs(keys: list[np.ndarray], sketch: np.ndarray, limit: int, short: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index pairs (i < j) of rows of equal keys (sorted by key, then Gray rank) whose wide fingerprints differ in at most `limit` bits,
+    and how many differ: the whole of short runs, long ones by `tree_pairs`."""
     n = sketch.shape[1]
     new = np.ones(n, bool)
     new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
     start = np.flatnonzero(new)
     length = np.diff(np.append(start, n))
     run = np.repeat(np.arange(len(start)), length)
-    end = (start + length)[run]
-
-    def apart(i, j):
-        return np.bitwise_count(sketch[:, i] ^ sketch[:, j]).sum(0, dtype=np.int64)
-
-    rows, lag = np.flatnonzero(length[run] <= short), 1
-    while len(rows := rows[rows + lag < end[rows]]):
-        d = apart(rows, rows + lag)
-        hit = d <= limit
-        yield rows[hit], rows[hit] + lag, d[hit]
-        lag += 1
+    rows = length[run] <= short
+    for lag in range(1, length[length <= short].max(initial=0)):
+        together = np.flatnonzero((run[lag:] == run[:-lag]) & rows[lag:])
+        if 4 * len(together) > n:
+            d = bits_set(sketch[:, :-lag] ^ sketch[:, lag:])[together]
+        else:
+            d = bits_set(sketch[:, together] ^ sketch[:, together + lag])
+        hit = np.flatnonzero(d <= limit)
+        if len(hit):
+            yield together[hit], together[hit] + lag, d[hit].astype(np.int64)
     for s, m in zip(start[length > short], length[length > short]):
-        for i in range(s, s + m - 1):
-            d = apart(slice(i, i + 1), slice(i + 1, s + m))
-            j = np.flatnonzero(d <= limit)
-            yield np.full(len(j), i), j + i + 1, d[j]
+        for i, j in tree_pairs(sketch[:, s : s + m], limit):
+            yield i + s, j + s, bits_set(sketch[:, i + s] ^ sketch[:, j + s]).astype(np.int64)
 
 
 def pick_pairs(keys: list[np.ndarray], sketch: np.ndarray, sketch_limit: int, most: int, chunk: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +182,7 @@ def pick_pairs(keys: list[np.ndarray], sketch: np.ndarray, sketch_limit: int, mo
     n = sketch.shape[1]
     clear = sketch_limit - 9
     degree, hub = np.zeros(n, np.int64), np.full(n, -1, np.int64)
-    kept, held = np.zeros((3, 0), np.int64), 0
+    kept, held, every = np.zeros((3, 0), np.int64), 0, []
 
     def nearest(parts):
         i, j, d = np.concatenate(parts, 1)
@@ -195,11 +199,13 @@ def pick_pairs(keys: list[np.ndarray], sketch: np.ndarray, sketch_limit: int, mo
         np.add.at(degree, j[at], 1)
         parts.append(np.stack([np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([d, d])]))
         held += 2 * len(i)
+        if every is not None:
+            every.append((i, j, d))
         if held > chunk:
             parts = [nearest(parts)]
-            held = 0
+            held, every = 0, None
     i, j, _ = nearest(parts)
-    for u, v, _ in near_pairs(keys, sketch, sketch_limit):
+    for u, v, _ in near_pairs(keys, sketch, sketch_limit) if every is None else every:
         np.maximum.at(hub, u, (degree[v] << 32) | (n - 1 - v))
         np.maximum.at(hub, v, (degree[u] << 32) | (n - 1 - u))
     rows = np.flatnonzero(hub >= 0)
@@ -223,31 +229,31 @@ def _sketch_words(t: pa.Table) -> np.ndarray:
 
 
 def _picker(keys: list[str], sketch_limit: int, most: int):
-    """Pairs of `pick_pairs`."""
+    """Pairs of `pick_pairs` with their bucket; every row that is near another row of its bucket is the cid of one."""
 
     def run(batches):
         for t in runs_of(batches, keys):
             t = t.combine_chunks()
-            cid = t["cid"].to_numpy()
+            cid, bits = t["cid"].to_numpy(), t["bits"].to_numpy()
             i, j = pick_pairs([t[k].to_numpy() for k in keys], _sketch_words(t), sketch_limit, most)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cid[i], cid[j])), pa.array(np.maximum(cid[i], cid[j]))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(bits[i]), pa.array(cid[i]), pa.array(cid[j])], names=["bits", "cid", "other"])
 
     return run
 
 
 def open_pairs(t: pa.Table, keys: list[str], sketch_limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i < j) of a table of buckets that still want a look at the texts: near by their sketches, of different
-    roots, and not together in an earlier band nor in another meeting of pieces. So each pair comes up once over all buckets."""
-    root, bits = t["root"].to_numpy(), t["bits"].to_numpy()
-    bands = pc.list_flatten(t["bands"]).to_numpy().reshape(-1, BANDS)
-    earlier = np.arange(BANDS) < (bands == bits[:, None]).argmax(1)[:, None]
+    """Index pairs (i < j) of a table of buckets that still want a look at the texts: near by their fingerprints, of different
+    roots, and not together in an earlier table nor in another meeting of pieces. So each pair comes up once over all buckets."""
+    root, words = t["root"].to_numpy(), _sketch_words(t)
+    cells = bucket_keys(words)
+    earlier = np.arange(TABLES) < (t["bits"].to_numpy() >> KEY_BITS)[:, None]
     own, one = (t["own"].to_numpy(), t["i"].to_numpy() == t["j"].to_numpy()) if len(keys) > 1 else (None, None)
-    for i, j, _ in near_pairs([t[k].to_numpy() for k in keys], _sketch_words(t), sketch_limit):
+    for i, j, _ in near_pairs([t[k].to_numpy() for k in keys], words, sketch_limit):
         keep = root[i] != root[j]
         if own is not None:
             keep &= one[i] | (own[i] != own[j])
         i, j = i[keep], j[keep]
-        new = ~((bands[i] == bands[j]) & earlier[i]).any(1)
+        new = ~((cells[i] == cells[j]) & earlier[i]).any(1)
         if new.any():
             yield i[new], j[new]
 
@@ -359,15 +365,16 @@ def component_roots(classes: DataFrame, limit: int) -> DataFrame:
     return at.join(at.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
 
 
-#: Columns of the hash of a text's shingle set, and of its sketch: a bit of each of 256 minimal hashes.
+#: Columns of the hash of a text's shingle set, and of its wide fingerprint: the SimHash of the set in 256 bits.
 CLASS, SKETCH = ["h0", "h1"], ["s0", "s1", "s2", "s3"]
-#: Texts meet where the minimal hashes of one of BANDS bands of BAND are equal: at a similarity of 0.8 one pair in 14,000 never does.
-BANDS, BAND = 24, 5
+#: Wide fingerprints meet where they agree in the KEY_BITS bits of one of TABLES choices. At a similarity of 0.8 they differ in 39
+#: of 256 bits on average, with a deviation of 6, and one pair in about 2000 never meets.
+TABLES, KEY_BITS = 72, 12
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 #: Nearest candidates of a row and bucket that are verified first.
 MOST = 1
-#: Odd factors, each of which orders the shingles in a way of its own.
-FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: The bits of each table: shuffles of all 256, cut into tables that share none.
+CHOICES = np.concatenate([np.random.default_rng([SEED, n]).permutation(256)[: 256 // KEY_BITS * KEY_BITS] for n in range(4)]).reshape(-1, KEY_BITS)[:TABLES]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -383,33 +390,54 @@ def shingle_set(words: list[bytes], k: int) -> np.ndarray:
     return np.unique(np.concatenate(parts))
 
 
-def sketch(text: str | None, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(six words, keys of the bands): CLASS and SKETCH of the text's set of k-shingles; no keys without shingles."""
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash of distinct shingles in four words; the first is that of the hashes themselves, the others of hashes of theirs."""
+    votes = np.zeros(256, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        h = hashes[at : at + CHUNK]
+        words = np.stack([h, *(_mixed(h + m) for m in MIX)], axis=1)
+        bits = np.unpackbits(words.astype(">u8").view(np.uint8), axis=1)
+        for n in range(0, len(bits), 255):  # sums of 255 bits fit a byte
+            votes += bits[n : n + 255].sum(0, dtype=np.uint8)
+    return np.packbits(2 * votes > len(hashes)).view(">u8").astype(np.uint64)
+
+
+def sketch(text: str | None, k: int = 5) -> np.ndarray:
+    """CLASS and SKETCH of the text's set of k-shingles, six words; zeros without words."""
     words = text.encode().lower().split() if text else []
     if not words:
-        return np.zeros(6, np.uint64), np.zeros(0, np.uint64)
-    every, least = shingle_set(words, k), np.full(256, ~np.uint64(0))
-    for at in range(0, len(every), 512):
-        np.minimum(least, (FACTORS[:, None] * every[at : at + 512]).min(1), out=least)
+        return np.zeros(6, np.uint64)
+    every = shingle_set(words, k)
     whole = xxhash.xxh3_128_digest(every.tobytes(), SEED)
-    own = np.packbits(_mixed(least) >> np.uint64(63)).view(">u8").astype(np.uint64)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64) * MIX[0]
-    for part in least[: BANDS * BAND].reshape(BANDS, BAND).T:
-        key = _mixed((key ^ part) + MIX[0])
-    return np.concatenate([np.frombuffer(whole, np.uint64), own]), key
+    return np.concatenate([np.frombuffer(whole, np.uint64), wide_fingerprint(every)])
+
+
+def bucket_keys(words: np.ndarray) -> np.ndarray:
+    """(rows, TABLES) of columns of four words: the number of the table, then the fingerprint's bits that it looks at."""
+    bits = np.unpackbits(np.ascontiguousarray(words.T).astype(">u8").view(np.uint8), axis=1)
+    out = np.arange(TABLES, dtype=np.int64) << KEY_BITS | np.zeros((len(bits), 1), np.int64)
+    for n in range(KEY_BITS):
+        out |= bits[:, CHOICES[:, n]].astype(np.int64) << n
+    return out
 
 
 def _sketches(k: int):
     def run(batches):
         for b in batches:
-            seen = [sketch(t, k) for t in b["text"].to_pylist()]
-            x = np.array([w for w, _ in seen], np.uint64).reshape(b.num_rows, 6).view(np.int64)
-            keys = pa.array([q.view(np.int64) for _, q in seen], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["digest"], *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(6)), keys], names=["doc_id", "digest", *CLASS, *SKETCH, "keys"])
+            x = np.array([sketch(t, k) for t in b["text"].to_pylist()], np.uint64).reshape(b.num_rows, 6).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["digest"], *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(6))], names=["doc_id", "digest", *CLASS, *SKETCH])
 
     return run
 
 
+def _dealer(batches):
+    """Each class once for every table."""
+    for b in batches:
+        cells = bucket_keys(np.stack([b[c].to_numpy().view(np.uint64) for c in SKETCH]))
+        for n in range(TABLES):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(cells[:, n])), b["cid"], *(b[c] for c in SKETCH)], names=["bits", "cid", *SKETCH])
+
+
 def jaccard_udf(k: int, held: int = 64):
     """Jaccard similarity of the k-shingle sets of two texts; the sets of the last `held` texts are kept as arrays."""
 
@@ -436,13 +464,18 @@ def jaccard_udf(k: int, held: int = 64):
     return jaccard
 
 
-def similar_groups(docs: DataFrame, k: int = 5, least: float = 0.8, sketch_limit: int = 54, bucket_rows: int = 4096, text_rows: int = 512) -> DataFrame:
+def _in_gray_order(rows: DataFrame, keys: list[str]) -> DataFrame:
+    dealt = rows.repartition(*keys).withColumn("gray", gray_rank(F.col("s0")))
+    return dealt.sortWithinPartitions(*keys, "gray", "cid").drop("gray")
+
+
+def similar_groups(docs: DataFrame, k: int = 5, least: float = 0.8, sketch_limit: int = 70, bucket_rows: int = 4096, text_rows: int = 512) -> DataFrame:
     """(doc_id, digest, root) of every row: a number for each group of texts that links of a Jaccard similarity of `least` or more of their
     k-word shingles connect. digest: a hash of the text, which tells rows of one id apart.
 
-    Candidates meet in buckets of equal bands of minimal hashes of the shingle sets. How likely two texts meet depends on their
-    similarity alone, not on where they differ nor on the number of rows. The sketches of texts of a similarity of 0.8
-    differ in 26 of 256 bits on average, with a deviation of 5, and may differ in `sketch_limit`. First the pairs of `pick_pairs` of
+    Candidates are found by SimHash: each shingle set has a fingerprint of 256 bits, which goes to a bucket for every table, by the bits
+    that the table looks at. Each bucket is sorted by Gray rank and searched for fingerprints that differ in `sketch_limit` bits or
+    fewer, large ones by the tree of `tree_pairs`. The texts' similarity has the last word. First the pairs of `pick_pairs` of
     each row and bucket are verified, so that a group of copies, which its hub joins, gives pairs in proportion to its rows. Then
     every candidate pair that is not yet in one component is verified in the first bucket that it shares: rows with such a pair bring their
     texts there, buckets of more than `text_rows` such rows are cut into pieces that meet pairwise, and a bucket gives at most one
@@ -450,26 +483,27 @@ def similar_groups(docs: DataFrame, k: int = 5, least: float = 0.8, sketch_limit
     shingle sets are one class.
     """
     digest = F.xxhash64(F.coalesce("text", F.lit("")))
-    prints = written(docs.select("doc_id", digest.alias("digest"), "text").mapInArrow(_sketches(k), "doc_id long, digest long, h0 long, h1 long, s0 long, s1 long, s2 long, s3 long, keys array<bigint>"))
-    classes = written(prints.groupBy(*CLASS).agg(F.min(F.struct("doc_id", "digest")).alias("least"), *(F.min(c).alias(c) for c in SKETCH), F.min("keys").alias("keys")).withColumn("cid", F.monotonically_increasing_id()))
-    keyed = classes.select("cid", F.explode("keys").alias("bits"))
-    shared = keyed.groupBy("bits").count().where("count > 1").select("bits")
-    live = written(keyed.join(shared, "bits").join(classes.select("cid", *SKETCH), "cid"))
+    prints = written(docs.select("doc_id", digest.alias("digest"), "text").mapInArrow(_sketches(k), "doc_id long, digest long, h0 long, h1 long, s0 long, s1 long, s2 long, s3 long"))
+    classes = written(prints.groupBy(*CLASS).agg(F.min(F.struct("doc_id", "digest")).alias("least"), *(F.min(c).alias(c) for c in SKETCH)).withColumn("cid", F.monotonically_increasing_id()))
+    # texts without words are one class, and meet no other
+    keyed = classes.where("h0 <> 0 or h1 <> 0").select("cid", *SKETCH).mapInArrow(_dealer, "bits long, cid long, s0 long, s1 long, s2 long, s3 long")
+    found = [_in_gray_order(rows, keys).mapInArrow(_picker(keys, sketch_limit, MOST), "bits long, cid long, other long") for rows, keys in pieced(keyed, ["bits"], "cid", bucket_rows)]
+    found = written(reduce(DataFrame.unionByName, found))
+    pairs = written(found.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct())
+    live = written(found.select("bits", "cid").distinct().join(classes.select("cid", *SKETCH), "cid"))
     # texts of the classes that meet others, once for both passes
     named = classes.join(live.select("cid").distinct(), "cid").select("cid", F.coalesce("least.doc_id", F.lit(0)).alias("_id"), F.col("least.doc_id").isNull().alias("_none"), F.col("least.digest").alias("_digest"))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), digest.alias("_digest"), "text")
     live_texts = written(rows.join(named, ["_id", "_none", "_digest"]).groupBy("cid").agg(F.first("text").alias("text")))
-    picked = [rows.repartition(*keys).sortWithinPartitions(*keys, "cid").mapInArrow(_picker(keys, sketch_limit, MOST), "a long, b long") for rows, keys in pieced(live, ["bits"], "cid", bucket_rows)]
-    pairs = written(reduce(DataFrame.unionByName, picked).distinct())
     x, y = (live_texts.select(F.col("cid").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
     roots = connected_components(pairs.join(x, "a").join(y, "b").where(jaccard_udf(k)("text_a", "text_b") >= least).select("a", "b"))
     now = live.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     split = now.groupBy("bits").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bits")
-    now = written(now.join(split, "bits").join(classes.select("cid", F.col("keys").alias("bands")), "cid"))
-    marks = [rows.repartition(*keys).sortWithinPartitions(*keys, "cid").mapInArrow(_marker(keys, sketch_limit), "bits long, cid long") for rows, keys in pieced(now, ["bits"], "cid", bucket_rows)]
+    now = written(now.join(split, "bits"))
+    marks = [_in_gray_order(rows, keys).mapInArrow(_marker(keys, sketch_limit), "bits long, cid long") for rows, keys in pieced(now, ["bits"], "cid", bucket_rows)]
     marks = written(reduce(DataFrame.unionByName, marks).distinct())
     edges = [
-        rows.join(now, ["bits", "cid"]).join(live_texts, "cid").repartition(*keys).sortWithinPartitions(*keys, "cid").mapInArrow(_verifier(keys, sketch_limit, k, least), "a long, b long")
+        _in_gray_order(rows.join(now, ["bits", "cid"]).join(live_texts, "cid"), keys).mapInArrow(_verifier(keys, sketch_limit, k, least), "a long, b long")
         for rows, keys in pieced(marks, ["bits"], "cid", text_rows)
     ]
     edges = written(reduce(DataFrame.unionByName, edges))

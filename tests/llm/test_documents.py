@@ -287,6 +287,19 @@ def test_one_of_each_group_of_copies_stays(spark):
     assert simhash.without_copies(frame(spark, [])).collect() == [] and simhash.without_copies(frame(spark, [(1, "alone " * 50_000, "a")])).count() == 1
 
 
+def test_near_dedup_finds_copies_by_their_simhash(spark, monkeypatch):
+    rng = random.Random(19)
+    data = []
+    for g in range(20):
+        base = [f"w{rng.randrange(900)}" for _ in range(200)]
+        data += [(2 * g, " ".join(base), "a"), (2 * g + 1, " ".join(base[:180]), "a")]
+    df = frame(spark, data)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_copies(spark, df, "").collect()) == list(range(0, 40, 2))
+    # with fingerprints that say nothing of the shingles no copy is found: the similarity only confirms what they find
+    monkeypatch.setattr(simhash, "wide_fingerprint", lambda hashes: np.random.default_rng(int(hashes[0] ^ hashes[-1]) + len(hashes)).integers(0, 1 << 63, 4, dtype=np.uint64))
+    assert corpus_pipeline.drop_copies(spark, df, "").count() == 40
+
+
 def test_pipeline_stages(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

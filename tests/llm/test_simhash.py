@@ -224,3 +224,44 @@ def test_open_pairs_come_up_once_and_similar_sets_join_what_brute_force_joins():
             low, high = sorted((root[u], root[v]))
             root = [low if r == high else r for r in root]
     assert label.tolist() == root and 1 < len(set(root)) < 60
+
+
+def test_wide_fingerprint_is_the_vote_of_all_shingles():
+    hashes = np.random.default_rng(16).integers(0, 1 << 63, 700, dtype=np.uint64)
+    for h in (hashes, hashes[:1], hashes[:4]):
+        words = [h, *(simhash._mixed(h + m) for m in simhash.MIX)]
+        want = [sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in w) > len(h)) for w in words]
+        assert simhash.wide_fingerprint(h).tolist() == want
+
+
+def pairs_of_similarity(rng, shingles, n):
+    for _ in range(n):
+        h = rng.integers(0, 1 << 63, shingles, dtype=np.uint64)
+        same = -(-shingles * 8 // 9)
+        yield simhash.wide_fingerprint(h), simhash.wide_fingerprint(np.concatenate([h[:same], rng.integers(0, 1 << 63, shingles - same, dtype=np.uint64)]))
+
+
+@pytest.mark.parametrize("shingles", [9, 90, 450])
+def test_fingerprints_of_a_similarity_of_four_fifths_meet_and_are_near(shingles):
+    words = np.stack([w for pair in pairs_of_similarity(np.random.default_rng(17), shingles, 500) for w in pair], axis=1)
+    cells = simhash.bucket_keys(words)
+    assert len(np.unique(cells[:, 0] >> simhash.KEY_BITS)) == 1 and (cells >> simhash.KEY_BITS == np.arange(simhash.TABLES)).all()
+    met = (cells[::2] == cells[1::2]).any(1)
+    near = np.bitwise_count(words[:, ::2] ^ words[:, 1::2]).sum(0, dtype=int) <= 70
+    assert (met & near).sum() >= 498
+
+
+@pytest.mark.parametrize("short", [8, 1000])
+def test_gray_order_search_of_wide_fingerprints_finds_every_near_pair(short):
+    rng = np.random.default_rng(18)
+    words = np.stack([w for shingles in (20, 200) for pair in pairs_of_similarity(rng, shingles, 150) for w in pair], axis=1)
+    key = rng.integers(0, 3, words.shape[1] // 2).repeat(2)
+    gray = words[0].copy()
+    for s in (1, 2, 4, 8, 16, 32):
+        gray ^= gray >> np.uint64(s)
+    order = np.lexsort((gray, key))
+    words, key = words[:, order], key[order]
+    got = [(a, b, c) for i, j, d in simhash.near_pairs([key], words, 70, short=short) for a, b, c in zip(i.tolist(), j.tolist(), d.tolist())]
+    d = np.bitwise_count(words[:, :, None] ^ words[:, None, :]).sum(0, dtype=int)
+    i, j = np.nonzero(np.triu((d <= 70) & (key[:, None] == key), 1))
+    assert sorted(got) == sorted(zip(i.tolist(), j.tolist(), d[i, j].tolist())) and len(got) >= 298
