@@ -74,6 +74,16 @@ def bits_set(x: np.ndarray) -> np.ndarray:
     return count if x.ndim == 1 else count.sum(0, dtype=np.int16)
 
 
+def bits_apart(f: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Number of bits that rows i and j of f differ in."""
+    if f.ndim == 1:
+        return np.bitwise_count(f[i] ^ f[j])
+    count = np.zeros(len(i), np.int16)
+    for word in f:
+        count += np.bitwise_count(word[i] ^ word[j])
+    return count
+
+
 def tree_pairs(f: np.ndarray, limit: int, leaf: int = 16, fan: int = 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i < j) of Gray-sorted fingerprints that differ in at most `limit` bits: words, or columns of several.
 
@@ -115,7 +125,7 @@ def tree_pairs(f: np.ndarray, limit: int, leaf: int = 16, fan: int = 16) -> Iter
                 todo.append((level - 1, i, j))
             else:
                 i, j = opened(pa_, pb_, n, leaf)
-                hit = (i < j) & (bits_set(f[..., i] ^ f[..., j]) <= limit)
+                hit = (i < j) & (bits_apart(f, i, j) <= limit)
                 if hit.any():
                     yield i[hit], j[hit]
 
@@ -164,16 +174,16 @@ def near_pairs(keys: list[np.ndarray], sketch: np.ndarray, limit: int, short: in
         if 4 * len(together) > n:
             d = bits_set(sketch[:, :-lag] ^ sketch[:, lag:])[together]
         else:
-            d = bits_set(sketch[:, together] ^ sketch[:, together + lag])
+            d = bits_apart(sketch, together, together + lag)
         hit = np.flatnonzero(d <= limit)
         if len(hit):
             yield together[hit], together[hit] + lag, d[hit].astype(np.int64)
     for s, m in zip(start[length > short], length[length > short]):
         for i, j in tree_pairs(sketch[:, s : s + m], limit):
-            yield i + s, j + s, bits_set(sketch[:, i + s] ^ sketch[:, j + s]).astype(np.int64)
+            yield i + s, j + s, bits_apart(sketch, i + s, j + s).astype(np.int64)
 
 
-def pick_pairs(keys: list[np.ndarray], sketch: np.ndarray, sketch_limit: int, most: int, chunk: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+def pick_pairs(keys: list[np.ndarray], sketch: np.ndarray, sketch_limit: int, most: int, chunk: int = 1 << 17, held_pairs: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
     """(i, j): of each row of a bucket pairs with the `most` nearest sketches and the hub.
 
     The hub is the row, among those within `sketch_limit`, that most rows are clearly near to: the text that the others of
@@ -182,7 +192,7 @@ def pick_pairs(keys: list[np.ndarray], sketch: np.ndarray, sketch_limit: int, mo
     n = sketch.shape[1]
     clear = sketch_limit - 9
     degree, hub = np.zeros(n, np.int64), np.full(n, -1, np.int64)
-    kept, held, every = np.zeros((3, 0), np.int64), 0, []
+    kept, held, every, total = np.zeros((3, 0), np.int64), 0, [], 0
 
     def nearest(parts):
         i, j, d = np.concatenate(parts, 1)
@@ -199,13 +209,16 @@ def pick_pairs(keys: list[np.ndarray], sketch: np.ndarray, sketch_limit: int, mo
         np.add.at(degree, j[at], 1)
         parts.append(np.stack([np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([d, d])]))
         held += 2 * len(i)
-        if every is not None:
+        total += len(i)
+        if total <= held_pairs:
             every.append((i, j, d))
+        else:  # too many to keep: found again
+            every = []
         if held > chunk:
             parts = [nearest(parts)]
-            held, every = 0, None
+            held = 0
     i, j, _ = nearest(parts)
-    for u, v, _ in near_pairs(keys, sketch, sketch_limit) if every is None else every:
+    for u, v, _ in (every if total <= held_pairs else near_pairs(keys, sketch, sketch_limit)):
         np.maximum.at(hub, u, (degree[v] << 32) | (n - 1 - v))
         np.maximum.at(hub, v, (degree[u] << 32) | (n - 1 - u))
     rows = np.flatnonzero(hub >= 0)
